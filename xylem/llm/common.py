@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: A word is a run of characters that are none of the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: The white space characters themselves, for translate().
-SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,8 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text, natively; an array without elements for null and blank texts."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{SPACE}|{SPACE}\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def byte_words(text: str | None) -> list[bytes]:

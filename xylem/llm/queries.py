@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm import packing, sharding, token_counts
+from xylem.llm import chat, packing, quality, sharding, token_counts
 from xylem.llm.common import table
 
 
@@ -31,16 +31,39 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = r"\### Assistant: </turn> ok"
+    added = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(control).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added[0]).unionByName(added[1])
+    shown = chat.format_chat(turns).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("masked", chat.masked_text(F.col("formatted"), F.col("loss_mask")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return shown.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "round_trip",
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(table(spark, sf_dir, "documents"))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return sharded.select("doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
