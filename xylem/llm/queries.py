@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm import chat, packing, quality, sharding, token_counts
+from xylem.llm import chat, extraction, media, packing, quality, sharding, token_counts
 from xylem.llm.common import table
 
 
@@ -58,12 +58,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("position", "caption")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_media_columns": op9_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
