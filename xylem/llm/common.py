@@ -94,7 +94,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Cache(dict):
-    """make(key) of the keys met so far; beyond a bound of entries, or for long keys, it is made anew each time."""
+    """make(key) of keys met so far. A full cache starts anew, so that frequent keys are soon back; long keys never enter."""
 
     def __init__(self, make, entries: int = 1 << 18, longest: int = 64):
         super().__init__()
@@ -102,6 +102,8 @@ class Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= self.longest and len(self) < self.entries:
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.clear()
             self[key] = value
         return value

@@ -10,7 +10,10 @@ A document is read once, tokenized once and never shuffled; what is broadcast is
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,50 @@ from xylem.llm.common import Cache, Staging, byte_words
 
 _encoders: dict[str, Cache] = {}
 
+#: Letters of ASCII and Latin-1, then ASCII marks without the apostrophe: two pre-tokens at most, which no normalizer but lower case changes.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-def _encoder(path: str) -> Cache:
-    """Word -> little-endian unsigned 16- or 32-bit ids. White space never is part of a token, so words are encoded one by one."""
-    if path not in _encoders:
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable bytes stand for themselves, others for letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printable)}
+
+
+class WordEncoder:
+    """Little-endian ids of a word. White space never is part of a token, so a text's ids are those of its words in a row.
+
+    Simple words of a lower-casing model go to its merges directly, each part once; all others through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        kind = id_kind(tokenizer.get_vocab_size())
-        _encoders[path] = Cache(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, kind).tobytes())
-        _encoders[path].kind = kind
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.kind, self.model, self.letters = id_kind(self.tokenizer.get_vocab_size()), self.tokenizer.model, byte_letters()
+        self.layout = lru_cache(lambda n: struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}"))
+        self.part = Cache(self.part_ids)
+        self.simple = all(self.part[a] + self.part[b] == self.whole(f"{c}{b}") for a, b, c in (("école", "),", "École"), ("x", "#$%", "X"), ("straße", "", "Straße")))
+
+    def part_ids(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        return self.bytes_of([t.id for t in self.model.tokenize(spelled)] if part else [])
+
+    def whole(self, word: str) -> bytes:
+        return self.bytes_of(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return self.layout(len(ids)).pack(*ids)
+
+    def __call__(self, word: bytes) -> bytes:
+        found = self.simple and _SIMPLE.fullmatch(text := word.decode())
+        return self.part[found[1].lower()] + self.part[found[2]] if found else self.whole(word.decode())
+
+
+def _encoder(path: str) -> Cache:
+    if path not in _encoders:
+        _encoders[path] = Cache(WordEncoder(path), 1 << 19)
     return _encoders[path]
 
 
@@ -45,7 +81,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        end, width = np.array([end_id], encode.kind).tobytes(), int(encode.kind[2])
+        end, width = np.array([end_id], encode.make.kind).tobytes(), int(encode.make.kind[2])
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, starts, counts = [], [], []
