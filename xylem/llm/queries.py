@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm import chat, extraction, media, packing, quality, sharding, token_counts
+from xylem.llm import chat, extraction, media, ngram_join, packing, quality, sharding, token_counts
 from xylem.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -68,6 +72,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_packing": op3_packing,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
