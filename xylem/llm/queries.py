@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm import chat, extraction, media, ngram_join, packing, quality, sharding, token_counts
+from xylem.llm import chat, extraction, media, ngram_join, packing, quality, sharding, suffix_dedup, token_counts
 from xylem.llm.common import table
 
 
@@ -35,6 +35,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = r"\### Assistant: </turn> ok"
     added = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(control).alias("text")) for i, role in enumerate(("user", "assistant"))]
@@ -74,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_packing": op3_packing,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
