@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm import chat, extraction, media, ngram_join, packing, quality, sharding, suffix_dedup, token_counts
+from xylem.llm import chat, extraction, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup, token_counts
 from xylem.llm.common import table
 
 
@@ -81,6 +81,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("position", "caption")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labelled, mixing.WEIGHTS, "clean")
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(mixing.WEIGHTS))]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op9_media_columns": op9_media_columns,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
