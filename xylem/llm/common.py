@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters that are none of the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +55,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text, natively; an array without elements for null and blank texts."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    spaced = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def byte_words(text: str | None) -> list[bytes]:
