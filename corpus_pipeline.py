@@ -1,15 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each stage's result written and read again as the next one's input.
+
+All stages but the last return the columns of documents. A document is a row with an id; rows of one id are one document. Rows
+without an id go through the stages like others, but are never labelled and never left out as near duplicates.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from xylem.llm import mixing, ngram_join, packing, quality, queries, suffix_dedup
+from xylem.llm.common import Staging, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the plain rules and look more like trusted documents than like what the corpus has too much of."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), carry=True)
+    return judged.filter("kept").select("record.*").select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    groups = ngram_join.link_groups(docs)
+    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the long strings that occur elsewhere; n_chars is that of the text left."""
+    left = suffix_dedup.without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at rates up to 1 that bring the domains' tokens to the target weights; clean documents stay."""
+    labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, labelled, mixing.WEIGHTS, "clean", replace(mixing.Mixing(), most=1.0))
+    left_out = mixed.filter("copies = 0").select("doc_id").distinct()
+    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    pieces = packing.pack_documents(docs, queries.vocabulary_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("mixing to target weights", mixing_to_weights),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    staging = Staging(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = staging.save(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs
