@@ -1,0 +1,5 @@
+"""Streaming reads; the readers share their code with the batch ones."""
+
+from xylem.sources.records import stream_records
+
+__all__ = ["stream_records"]
