@@ -35,9 +35,15 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table that was written and is read again."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df as a table that was written and is read again. batch_rows: how many rows reach Python at once, where rows are long."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            self.spark.conf.set(key, batch_rows or before)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(key, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """Jaccard join of documents on their word n-grams, and the groups that the links form.
 
-The join is a sparse product of the document by n-gram incidence with itself, computed in blocks of n-grams. Three bounds that
+The join is a sparse product of the document by n-gram incidence with itself, computed in blocks of n-grams. Four bounds that
 follow from the sizes keep the product small and lose no pair that reaches the threshold t:
 
 * rows are ordered from rare to frequent n-grams, and only the first |A| - ceil(t |A|) + 1 entries of a row are multiplied, as two
   sets with similarity t share an n-gram among those;
 * sets whose sizes differ by more than the factor t are not paired;
-* an n-gram at place i of A leaves |A| - i entries for the overlap, which must reach t / (1 + t) (|A| + |B|).
+* an n-gram at place i of A leaves |A| - i entries for the overlap, which must reach t / (1 + t) (|A| + |B|);
+* parity signatures of the sets differ in no more bits than the sets have elements that are not common.
 
 Frequencies come from a table of counters of fixed size over all documents. It orders n-grams; when counters are shared the order
 is less sharp and no less exact. Equal sets are one node, so copies cost nothing. Groups need no pair inside a group that is linked
-already: first each node is compared with one node, the one it shares most entries with among the least nodes of its columns, and
-only pairs of nodes that are then still in different groups are multiplied out. Every link counted is verified on the whole sets.
+already: in turns, each node is compared with a few nodes of other groups, those that most of its columns suggest, until a turn
+finds few links; only pairs of nodes that are then still in different groups are multiplied out. Every link counted is
+verified on the whole sets.
 
 N-grams, words and sets are compared by 64-bit hashes.
 """
@@ -29,21 +31,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import LOWER, Cache, Staging, mixed, pack, unpack
+from xylem.llm.common import LOWER, Staging, mixed, pack, unpack
 from xylem.llm.components import components
+from xylem.llm.rolling import Text
 
-_WORDS = Cache(xxhash.xxh64_intdigest)
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+SIGNATURE_BITS = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Join:
     """words: of a shingle. percent: the threshold. counter_bits: of the frequency table's size (4 bytes each). block_entries: of a
-    block of the product, so of a task's memory."""
+    block of the product, so of a task's memory. hubs: nodes that a column suggests for comparison in a turn. compared: of a node's
+    candidates in a turn. worthwhile: share of links among a turn's comparisons up to which there are no more turns."""
 
     words: int = 5
     percent: int = 75
     counter_bits: int = 22
+    hubs: int = 3
+    compared: int = 2
+    worthwhile: float = 0.05
     block_entries: int = 500_000
 
     def linked(self, overlap, a, b):
@@ -55,18 +64,26 @@ class Join:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; of a shorter sequence of words, the hash of all of it."""
-    found = text.encode().translate(LOWER).split() if text else []
-    if not found:
+    read = Text(text.encode().translate(LOWER) if text else b"")
+    edges = np.flatnonzero(np.diff(_IN_WORD[read.values], prepend=False, append=False))
+    if not len(edges):
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    length = min(words, len(found))
+    hashes = read.hashes(edges[::2], edges[1::2])
+    length = min(words, len(hashes))
     with np.errstate(over="ignore"):
-        out = np.full(len(found) - length + 1, length, np.uint64)
+        out = np.full(len(hashes) - length + 1, length, np.uint64)
         for i in range(length):
             out = out * _STEP + hashes[i : len(hashes) - length + 1 + i]
     return np.unique(mixed(out))
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """One bit for each of SIGNATURE_BITS classes of hashes: whether an odd number of the set's belongs to it. Two signatures
+    differ in as many bits at most as the sets have elements that are not common."""
+    odd = np.bincount((own % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def node_of(own: np.ndarray) -> int:
     """One number for equal sets, as a signed long."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), 5))))
@@ -93,7 +110,7 @@ def _survey(docs: DataFrame, join: Join) -> DataFrame:
                 nodes.append(node_of(own) if len(own) else None)
                 places.append((own >> shift).astype(np.int64))
                 held += len(own)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     counters += np.bincount(np.concatenate(places), minlength=size).astype(np.uint32)
                     places, held = [], 0
             if places:
@@ -163,8 +180,29 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(keys)) if len(keys) else starts
 
 
-def _columns(entries: DataFrame) -> DataFrame:
-    """block, entries of the columns that at least two nodes share."""
+def _partnered(gram: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, join: Join) -> list[np.ndarray]:
+    """The entries, sorted by gram and size, whose column has another node that the bounds of sizes and places allow.
+
+    The least fitting size asks for the least overlap, so an entry is compared with that one.
+    """
+    order = np.lexsort((n, gram))
+    gram, node, n, place = gram[order], node[order], n[order], place[order]
+    starts, ends = _runs(gram)
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    size, span = n.astype(np.int64), int(n.max(initial=0)) + 1
+    least = -(-join.percent * size // 100)
+    partner = np.searchsorted(of * span + size, of * span + least)
+    partner += partner == np.arange(len(gram))
+    there = partner < len(gram)
+    partner[~there] = 0
+    other = size[partner]
+    need = -(-join.percent * (size + other) // (100 + join.percent))
+    fits = there & (of[partner] == of) & (100 * size >= join.percent * other) & (size - place >= need) if len(gram) else there
+    return [a[fits] for a in (gram, node, n, place)]
+
+
+def _columns(entries: DataFrame, join: Join) -> DataFrame:
+    """block, entries of the columns that at least two nodes share and that bounds allow to link."""
 
     def run(block: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py(), *_ENTRY) for b in block.column("entries")]
@@ -173,9 +211,7 @@ def _columns(entries: DataFrame) -> DataFrame:
         gram, node, n, place = gram[order], node[order], n[order], place[order]
         fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
         gram, node, n, place = gram[fresh], node[fresh], n[fresh], place[fresh]
-        starts, ends = _runs(gram)
-        shared = np.repeat(ends - starts > 1, ends - starts)
-        arrays = [a[shared] for a in (gram, node, n, place)]
+        arrays = _partnered(*_partnered(gram, node, n, place, join), join)
         return pa.table([block.column("block")[:1].cast(pa.int32()), pa.array([pack(*arrays)], pa.binary())], ["block", "entries"])
 
     return entries.groupBy("block").applyInArrow(run, "block int, entries binary")
@@ -193,37 +229,74 @@ def _exploded(columns: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, "block int, gram long, node long, n int, place int")
 
 
-def _nearest(columns: DataFrame, join: Join) -> DataFrame:
-    """a, b: for each node the node it shares most entries with, among the least nodes of its columns, if sizes allow a link."""
+def _votes(gram: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, turn: int, join: Join) -> pa.RecordBatch:
+    """a, b, votes: how many columns suggest that a be compared with b, a node of another group and of a fitting size.
 
+    A column, sorted by gram, suggests a few of its own nodes to all others: those with the least hashes, other ones in each turn and only one in the first, when all columns have a say.
+    """
+    starts, ends = _runs(gram)
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    pairs: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+    for i in range(join.hubs if turn else 1):
+        order = np.lexsort((mixed(node.view(np.uint64) ^ np.uint64(turn * join.hubs + i + 1)), of))
+        hub = order[starts][of]
+        small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
+        fit = (component != component[hub]) & (100 * small >= join.percent * large)
+        pairs.append(np.stack((node[fit], node[hub[fit]])))
+    a, b = np.concatenate(pairs, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.diff(np.append(fresh, len(a))))], ["a", "b", "votes"])
+
+
+def _chosen(votes: DataFrame, join: Join) -> DataFrame:
+    """a, b: of each node's candidates, those with the most votes. A node has as many candidates as columns suggest, no more."""
+    best = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False).alias("best"))
+    pairs = best.select("a", F.explode(F.slice("best", 1, join.compared)).alias("one")).select("a", "one.b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _first_candidates(columns: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(1):
                 gram, node, n, _ = unpack(blob.as_py(), *_ENTRY)
-                if not len(gram):
-                    continue
-                starts, ends = _runs(gram)
-                hub, hub_n = np.repeat(node[starts], ends - starts), np.repeat(n[starts], ends - starts).astype(np.int64)
-                size = n.astype(np.int64)
-                fit = (hub != node) & (100 * np.minimum(size, hub_n) >= join.percent * np.maximum(size, hub_n))
-                pairs, votes = np.unique(np.stack((node[fit], hub[fit])), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(votes.astype(np.int64))], ["a", "b", "votes"])
+                yield _votes(gram, node, n.astype(np.int64), node, 0, join)
+
+    return _chosen(columns.mapInArrow(run, "a long, b long, votes long"), join)
+
+
+def _next_candidates(apart: DataFrame, turn: int, join: Join) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, _APART)
+        gram, node, n, component = (held.column(c).to_numpy() for c in ("gram", "node", "n", "component"))
+        order = np.argsort(gram, kind="stable")
+        yield _votes(gram[order], node[order], n[order].astype(np.int64), component[order], turn, join)
+
+    return _chosen(apart.repartition("gram").mapInArrow(run, "a long, b long, votes long"), join)
+
+
+_APART = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("component", pa.int64())])
 
-    counted = columns.mapInArrow(run, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
 
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """gram, node, n, place, component of the columns whose nodes are in several groups. rows: of columns that once were so."""
+    rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
+    return rows.join(several, "gram").select(*_APART.names)
 
-def _between(columns: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """a, b of different groups that share an entry and pass the size bounds."""
-    rows = _exploded(columns).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    kept = rows.join(apart, "gram")
+
+def _between(apart: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """a, b of different groups that share an entry and pass the bounds of sizes, places and signatures."""
+    signed = apart.join(texts.select("node", "signature"), "node").select(*_APART.names, "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("component", pa.int64())]))
+        held = pa.Table.from_batches(batches, _APART.append(pa.field("signature", pa.binary())))
         gram, node, n, place, component = (held.column(i).to_numpy() for i in range(5))
+        bits = np.frombuffer(b"".join(held.column(5).to_pylist()), np.uint64).reshape(len(gram), -1)
         order = np.lexsort((n, gram))
-        gram, node, component = gram[order], node[order], component[order]
+        gram, node, component, bits = gram[order], node[order], component[order], bits[order]
         n, place = n[order].astype(np.int64), place[order].astype(np.int64)
         t = join.percent
         found, held_pairs = [], 0
@@ -237,6 +310,8 @@ def _between(columns: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
                     continue
                 need = -(-t * (n[i] + n[j]) // (100 + t))
                 good = (component[j] != component[i]) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+                j, need = j[good], need[good]
+                good = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[i] + n[j] - 2 * need
                 if good.any():
                     other = node[j[good]]
                     found.append(np.stack((np.minimum(other, node[i]), np.maximum(other, node[i]))))
@@ -250,7 +325,7 @@ def _between(columns: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return kept.select("gram", "node", "n", "place", "component").repartition("gram").mapInArrow(run, "a long, b long").distinct()
+    return signed.repartition("gram").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
@@ -282,30 +357,43 @@ def link_groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text:
     spark = docs.sparkSession
     staging = Staging(spark, "ngram-join")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = staging.save(_survey(narrow, join), "survey")
+    survey = staging.save(_survey(narrow, join), "survey", batch_rows=2000)
     rows = survey.filter("segment is null").select("doc_id", "n", "node")
     counters = spark.sparkContext.broadcast(_counters(survey, join))  # 4 << join.counter_bits bytes
     total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (100 - join.percent) / 100 / join.block_entries))
-    columns = staging.save(_columns(_entries(narrow, counters, join, blocks)), "columns")
+    columns = staging.save(_columns(_entries(narrow, counters, join, blocks), join), "columns", batch_rows=2000)
 
-    nearest = staging.save(_nearest(columns, join), "nearest")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shared = _exploded(columns).select("node").distinct()
     wanted = nodes.join(shared, "node")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # one id may have several texts
-            yield batch.filter(pa.array([node_of(shingles(t.as_py(), join.words)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], pa.bool_()))
-
-    matched = narrow.join(wanted, narrow.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(own, "node long, text string")
-    texts = staging.save(matched.dropDuplicates(["node"]), "texts")
-
-    first = staging.save(_verified(nearest, texts, join), "links-1")
-    groups = components(first, staging, "groups-1")
-    second = staging.save(_verified(staging.save(_between(columns, groups, join), "pairs"), texts, join), "links-2")
-    if not second.isEmpty():
-        groups = components(first.union(second), staging, "groups-2")
+        for batch in batches:
+            sets = [shingles(t.as_py(), join.words) for t in batch.column(1)]
+            full = batch.append_column("signature", pa.array([signature(s).tobytes() for s in sets], pa.binary()))
+            # one id may have several texts
+            yield full.filter(pa.array([len(s) > 0 and node_of(s) == n for n, s in zip(batch.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
+
+    matched = narrow.join(wanted, narrow.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(own, "node long, text string, signature binary")
+    texts = staging.save(matched.dropDuplicates(["node"]), "texts", batch_rows=2000)
+
+    links = staging.save(_verified(staging.save(_first_candidates(columns, join), "pairs-0"), texts, join), "links-0", batch_rows=500)
+    turn, more, apart = 0, True, _exploded(columns)
+    while True:
+        groups = components(links, staging, f"groups-{turn}")
+        apart = staging.save(_apart(apart.drop("component"), groups), f"apart-{turn}")
+        turn += 1
+        # while comparisons with few nodes often find links, it is too early to look at all pairs of different groups
+        pairs = staging.save(_next_candidates(apart, turn, join) if more else _between(apart, texts, join), f"pairs-{turn}")
+        new = staging.save(_verified(pairs, texts, join), f"links-{turn}", batch_rows=500)
+        found = new.count()
+        links = links.union(new) if found else links
+        if not more:
+            if found:
+                groups = components(links, staging, "groups")
+            break
+        more = found > join.worthwhile * pairs.count()
 
     named = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
