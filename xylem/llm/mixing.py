@@ -44,11 +44,15 @@ _BUCKETS: dict[int, Cache] = {}
 
 
 def word_buckets(text: str | None, buckets: int) -> np.ndarray:
-    """Distinct buckets of the words of a text, in order; A-Z count as a-z."""
+    """Distinct buckets of the words of a text, in order; A-Z count as a-z. Two buckets stand for the text's length, in powers of
+    two, and for the share of its words that are distinct, in tenths."""
     if buckets not in _BUCKETS:
         _BUCKETS[buckets] = Cache(lambda w: xxhash.xxh64_intdigest(w) % buckets)
     of, found = _BUCKETS[buckets], text.encode().translate(LOWER).split() if text else []
-    return np.unique(np.fromiter(map(of.__getitem__, found), np.int64, len(found)))
+    if not found:
+        return np.empty(0, np.int64)
+    shape = [b"\0words %d" % len(found).bit_length(), b"\0distinct %d" % (10 * len(set(found)) // len(found))]
+    return np.unique(np.fromiter(map(of.__getitem__, (*found, *shape)), np.int64, len(found) + 2))
 
 
 class Classifier:
