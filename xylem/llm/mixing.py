@@ -33,7 +33,7 @@ class Mixing:
     labelled_rows: int = 6000
     buckets: int = 1 << 16
     features: int = 4096
-    z: float = 4.0
+    z: float = 6.0
     most: float = 4.0
     steps: int = 25
     tolerance: float = 1e-4
@@ -44,10 +44,11 @@ _BUCKETS: dict[int, Cache] = {}
 
 
 def word_buckets(text: str | None, buckets: int) -> np.ndarray:
-    """Distinct buckets of the words of a text, in order; A-Z count as a-z. Two buckets stand for the text's length, in powers of
+    """Distinct buckets of the words of a text, in order; A-Z count as a-z, and marks that end a word do not
+    count. Two buckets stand for the text's length, in powers of
     two, and for the share of its words that are distinct, in tenths."""
     if buckets not in _BUCKETS:
-        _BUCKETS[buckets] = Cache(lambda w: xxhash.xxh64_intdigest(w) % buckets)
+        _BUCKETS[buckets] = Cache(lambda w: xxhash.xxh64_intdigest(w.rstrip(b".,;:!?")) % buckets)
     of, found = _BUCKETS[buckets], text.encode().translate(LOWER).split() if text else []
     if not found:
         return np.empty(0, np.int64)
@@ -76,7 +77,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: Sequence[np.ndarray], labels: np.ndarray, domains: int, how: Mixing, rounds: int = 150, penalty: float = 1e-3) -> Classifier:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, domains: int, how: Mixing, rounds: int = 300, penalty: float = 1.0) -> Classifier:
     """rows: distinct buckets of each labelled document. Domains without rows keep a small prior."""
     n = len(rows)
     lengths = np.array([len(r) for r in rows], np.int64)
