@@ -16,7 +16,7 @@ def detect_format(doc: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path and document of each file; one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("document"))
 
 
 def _options(tag: str) -> dict[str, str]:

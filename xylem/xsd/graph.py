@@ -65,7 +65,7 @@ def chunks(edges: DataFrame, budget: int) -> DataFrame:
     order = Window.orderBy("level", "component")
     size = levels(edges).groupBy("level", "component").agg(F.count("*").alias("n"), F.collect_list("node").alias("nodes"))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return size.select(F.explode("nodes").alias("node"), F.floor(before / budget).alias("chunk"))
+    return size.withColumn("chunk", F.floor(before / budget)).select(F.explode("nodes").alias("node"), "chunk")
 
 
 def chunk_needs(edges: DataFrame, of: DataFrame) -> DataFrame:
