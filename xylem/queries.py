@@ -465,7 +465,7 @@ def root_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey // 5) * 5 + (n_nationkey + 1) % 5 AS dst FROM nation
     UNION ALL SELECT 100 + n_regionkey, n_nationkey FROM nation),
     c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)
-    SELECT n AS node, least(n, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src = n), n)) AS component
+    SELECT CAST(n AS BIGINT) AS node, CAST(least(n, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src = n), n)) AS BIGINT) AS component
     FROM (SELECT src AS n FROM e UNION SELECT dst FROM e)"""
 )
 def schema_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,6 +488,38 @@ def chunk_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chunk_needs(edges, graph.chunks(edges, 10))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS id, max(o_orderstatus) AS status, strftime(max(o_orderdate), '%Y-%m-%d') AS placed, CAST(count(*) AS BIGINT) AS n_items,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT id, status, placed, n_items, quantity, CAST(n_items AS INTEGER) AS n_errors FROM o"""
+)
+def xsd_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a compiled schema: union, pattern, enumeration, simple content, lists. Each item's sku breaks its pattern."""
+    from xylem.xsd.compile import compile_text
+    from xylem.xsd.fixtures import ORDERS
+
+    record = compile_text(ORDERS).record("Order")
+    item = F.concat(F.lit('<Item sku="'), F.col("l_partkey").cast("string"), F.lit('"><Quantity>'), F.col("l_quantity").cast("bigint").cast("string"), F.lit('</Quantity><Price currency="EUR">1.5</Price><Sizes>1 2</Sizes></Item>'))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    head = F.concat(F.lit('<o:Order xmlns:o="urn:orders" id="'), F.col("o_orderkey").cast("string"), F.lit('" status="'), "o_orderstatus", F.lit('">'), element("o:Placed", F.date_format("o_orderdate", "yyyy-MM-dd")))
+    docs = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(head, F.lit('<Buyer partyId="1"><Name>n</Name></Buyer>'), "items", F.lit("<Cash>true</Cash></o:Order>")).alias("doc"))
+    rows = shred(docs, "doc", record)
+    quantity = F.aggregate("record.Item", F.lit(0).cast("bigint"), lambda a, i: a + i.Quantity)
+    return rows.select("record.id", "record.status", F.col("record.Placed").alias("placed"), F.size("record.Item").cast("bigint").alias("n_items"), quantity.alias("quantity"), F.size("errors").alias("n_errors"))
+
+
+@query("SELECT * FROM (VALUES ('head', 'one'), ('head', 'two'), ('one', 'two'), ('head', 'three')) t(head, member)")
+def substitution_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from xylem.xsd.compile import compile_text
+
+    schema = compile_text(
+        '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="head"/><xs:element name="one" substitutionGroup="head"/>'
+        '<xs:element name="two" substitutionGroup="one"/><xs:element name="three" substitutionGroup="head"/></xs:schema>'
+    )
+    edges = [(node.get("substitutionGroup"), node.get("name")) for node, _ in schema.elements.values() if node.get("substitutionGroup")]
+    return graph.closure(spark.createDataFrame(edges, "src string, dst string")).select(F.col("src").alias("head"), F.col("dst").alias("member"))
+
+
 @query()
 def schema_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from xylem.xsd.compile import compile_text
