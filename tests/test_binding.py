@@ -165,6 +165,11 @@ def test_json_without_a_schema():
     assert transcode.xml_of('{"a":{}}') == "<a/>" and transcode.xml_of("null") == "<root/>"
 
 
+def test_variants_of_any_json(spark):
+    rows = documents(spark, '{"b":[1,2.5],"a":null}', "{", None).select("k", F.to_json(transcode.parse_dynamic(F.col("doc"))).alias("j")).orderBy("k").collect()
+    assert [r.j for r in rows] == ['{"a":null,"b":[1,2.5]}', None, None]
+
+
 def test_bad_documents_are_errors_not_failures(spark):
     rows = transcode.xml_to_json_dynamic(documents(spark, "<a>", None, "<a/>"), "doc").orderBy("k").collect()
     assert [(r.json, r.error is None) for r in rows] == [(None, False), (None, True), ('{"a":null}', True)]

@@ -2,6 +2,7 @@ import pytest
 
 from xylem.operators.shred import shred
 from xylem.plans.schema import INT, STRING, Record, Scalar
+from xylem.sources.nodes import content_violations, read_nodes, wrong_roots
 from xylem.xsd import graph
 from xylem.xsd.compile import SchemaError, compile_file, compile_text
 from xylem.xsd.fixtures import ORDERS
@@ -100,3 +101,21 @@ def test_graphs(spark):
     frames = graph.catalog(spark, compile_text(ORDERS))
     assert {r.kind: r["count"] for r in frames["types"].groupBy("kind").count().collect()} == {"simple": 4, "complex": 4, "simple content": 1}
     assert graph.closure(frames["edges"].select("src", "dst")).filter("src = '{urn:orders}Order' and dst = '{urn:orders}Amount'").count() == 1
+
+
+def test_ddl_and_field_metadata(spark):
+    record = compile_text(ORDERS).record("Order")
+    made = record.typed_schema()
+    assert shred(spark.createDataFrame([("<Order/>",)], "doc string"), "doc", record).schema["record"].dataType.simpleString() == made.simpleString()
+    price = made["Item"].dataType.elementType["Price"].dataType
+    assert price["currency"].metadata == {"xml_name": "currency", "kind": "attribute", "default": "USD"}
+
+
+def test_contents_and_roots(spark):
+    record = compile_text(ORDERS).record("Order")
+    assert list(record.contents()) == ["Order"]
+    good = '<Order xmlns="urn:orders"><Placed/><Buyer><Name/></Buyer><Item/><Item/><Card/></Order>'
+    docs = spark.createDataFrame([(0, good), (1, good.replace("<Card/>", "<Card/><Cash/>")), (2, good.replace("<Item/>", "")), (3, "<Order/>"), (4, good.replace("urn:orders", "urn:other"))], "k int, doc string")
+    rows = read_nodes(docs, "k", "doc")
+    assert {r.k for r in content_violations(rows, "k", record).collect()} == {1, 2, 3, 4}
+    assert {r.k for r in wrong_roots(rows, "k", record).collect()} == {3, 4}

@@ -85,6 +85,11 @@ def json_to_xml(df: DataFrame, doc: str, record: Record, into: str = "xml", root
 # -- without a schema
 
 
+def parse_dynamic(doc: Column) -> Column:
+    """Any JSON as a variant; null where the text is none. ``F.to_json`` writes it again, with sorted keys."""
+    return F.try_parse_json(doc)
+
+
 def _scalar(text: str):
     trimmed = text.strip()
     if trimmed in ("true", "false"):

@@ -177,6 +177,27 @@ class Record:
             out.add(f.source, T.ArrayType(kind) if f.many else kind)
         return out.add("_type", "string") if self.variants else out
 
+    def typed_schema(self) -> T.StructType:
+        """What typed() makes; its simpleString() is the DDL of a table for the records."""
+        out = T.StructType()
+        for f in self.all_fields():
+            if f.kind != "any_attribute":
+                kind = f.type.typed_schema() if isinstance(f.type, Record) else f.type.spark_type()
+                about = {"xml_name": f.tag, "kind": f.kind} | {k: v for k in ("namespace", "default", "fixed") if (v := getattr(f, k)) is not None}
+                out.add(f.name, T.ArrayType(kind) if f.many else kind, True, about)
+        return out.add("xsi_type", "string") if self.variants else out
+
+    def contents(self) -> dict[str, str]:
+        """Content pattern by element name, of this record and of those below it."""
+        found = {self.name: self.content} if self.content else {}
+        for f in self.all_fields():
+            if isinstance(f.type, Record):
+                inner = f.type.contents()
+                if f.type.content:
+                    inner[f.tag] = inner.pop(f.type.name)
+                found |= inner
+        return found
+
     def _text(self, f: Field, value: Column) -> Column:
         """Text of a scalar as it counts: null where nil, the default where empty."""
         if f.nillable and f.kind == "element":

@@ -138,6 +138,25 @@ def child_tokens(nodes: DataFrame, key: str) -> DataFrame:
     return children.groupBy(key, "parent").agg(F.array_join(ordered.getField("token"), "").alias("tokens"))
 
 
+def content_violations(nodes: DataFrame, key: str, record) -> DataFrame:
+    """key, node, name and tokens of elements whose children do not follow the content pattern that the record has for them."""
+    patterns = record.contents()
+    if not patterns:
+        return nodes.limit(0).select(key, "node", "name", F.lit("").alias("tokens"))
+    elements = nodes.filter((F.col("kind") == "element") & F.col("name").isin(*patterns)).select(key, "node", "name")
+    found = elements.join(child_tokens(nodes, key).withColumnRenamed("parent", "node"), [key, "node"], "left").withColumn("tokens", F.coalesce("tokens", F.lit("")))
+    good = F.lit(False)
+    for name, pattern in patterns.items():
+        good = F.when(F.col("name") == name, F.regexp_like("tokens", F.lit(rf"\A(?:{pattern})\z"))).otherwise(good)
+    return found.filter(~good)
+
+
+def wrong_roots(nodes: DataFrame, key: str, record) -> DataFrame:
+    """key and name of documents whose root is not the record's element, namespace included."""
+    roots = nodes.filter("kind = 'element' and parent is null")
+    return roots.filter(~((F.col("name") == record.name) & F.col("uri").eqNullSafe(F.lit(record.namespace)))).select(key, "name")
+
+
 def mixed_items(nodes: DataFrame, key: str) -> DataFrame:
     """key, parent and items: text runs and children of an element in order, as struct(kind, value); text has the kind #text."""
     inner = nodes.filter("parent is not null")
