@@ -36,9 +36,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at rates up to 1 that bring the domains' tokens to the target weights; clean documents stay."""
+    """Documents at rates up to 1 that bring the domains' tokens to the target weights; those most likely clean all stay."""
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, mixing.WEIGHTS, "clean", replace(mixing.Mixing(), most=1.0))
+    mixed = mixing.mix(docs, labelled, mixing.WEIGHTS, "clean", replace(mixing.Mixing(), most=1.0, anchored=1.0))
     left_out = mixed.filter("copies = 0").select("doc_id").distinct()
     return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
 

@@ -118,7 +118,7 @@ def test_rates_meet_reachable_targets(spark):
     how = mixing.Mixing()
     steps, totals, wanted = mixing.descend(members, 3, lambda t: [t[0], 1.5 * t[1], 0.6 * t[2]], how)
     n, p = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    rates = mixing.rates_of(p, steps, how.most)
+    rates = mixing.rates_of(p, steps, how, 0)
     assert (rates >= 0).all() and (rates <= how.most).all()
     assert np.allclose((rates * n) @ p, totals) and np.abs(totals - wanted).max() <= 2e-4 * wanted.sum()
 
@@ -131,6 +131,15 @@ def test_unreachable_targets_get_the_nearest(spark):
     assert np.allclose(totals, [50, 25])
 
 
+def test_anchored_rates_never_fall(spark):
+    rows = [(10, [0.6, 0.4])] * 5 + [(10, [0.1, 0.9])] * 5
+    members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    how = mixing.Mixing(most=1.0, anchored=1.0)
+    steps, _, _ = mixing.descend(members, 2, lambda t: [t[0], 0.0], how)
+    rates = mixing.rates_of(np.array([r[1] for r in rows]), steps, how, 0)
+    assert (rates[:5] == 1).all() and (rates[5:] < 0.5).all()
+
+
 def test_mix_of_awkward_rows(spark):
     labelled = spark.createDataFrame([(1, "clean"), (20, "toxic"), (None, "low"), (3, "other")], "doc_id long, domain string")
     got = mixing.mix(cases.docs(spark), labelled, mixing.WEIGHTS, "clean").collect()

@@ -28,13 +28,15 @@ from xylem.llm.common import LOWER, Cache, Staging
 @dataclass(frozen=True)
 class Mixing:
     """labelled_rows: bound of the sample that the classifier is fitted on. buckets: of the word hash. features: that are kept.
-    z: from which a bucket tells domains apart. most: bound of the rates. steps and tolerance: of the descent."""
+    z: from which a bucket tells domains apart. most: bound of the rates. anchored: lower bound of the rates of documents whose
+    likeliest domain is the anchor. steps and tolerance: of the descent."""
 
     labelled_rows: int = 6000
     buckets: int = 1 << 16
     features: int = 4096
-    z: float = 6.0
+    z: float = 4.0
     most: float = 4.0
+    anchored: float = 0.0
     steps: int = 25
     tolerance: float = 1e-4
     seed: int = 10
@@ -77,7 +79,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: Sequence[np.ndarray], labels: np.ndarray, domains: int, how: Mixing, rounds: int = 300, penalty: float = 1.0) -> Classifier:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, domains: int, how: Mixing, rounds: int = 300, penalty: float = 0.01) -> Classifier:
     """rows: distinct buckets of each labelled document. Domains without rows keep a small prior."""
     n = len(rows)
     lengths = np.array([len(r) for r in rows], np.int64)
@@ -141,11 +143,11 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
 
-def rates_of(p: np.ndarray, steps: Sequence[np.ndarray], most: float) -> np.ndarray:
-    """Rates after the given steps; each is projected onto 0 .. most."""
-    rates = np.ones(len(p))
+def rates_of(p: np.ndarray, steps: Sequence[np.ndarray], how: Mixing, anchor: int) -> np.ndarray:
+    """Rates after the given steps; each is projected onto the bounds."""
+    rates, low = np.ones(len(p)), np.where(p.argmax(axis=1) == anchor, how.anchored, 0.0) if len(p) else np.zeros(0)
     for step in steps:
-        rates = np.clip(rates - p @ step, 0.0, most)
+        rates = np.clip(rates - p @ step, low, how.most)
     return rates
 
 
@@ -153,7 +155,7 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def descend(members: DataFrame, width: int, targets, how: Mixing) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def descend(members: DataFrame, width: int, targets, how: Mixing, anchor: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps of the descent, the totals that they reach, and the targets. targets: from totals at rate 1 to those wanted."""
 
     def sums(steps: list[np.ndarray]):
@@ -161,7 +163,7 @@ def descend(members: DataFrame, width: int, targets, how: Mixing) -> tuple[list[
             total, moment = np.zeros(width), np.zeros((width, width))
             for batch in batches:
                 n, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(batch.column(1), width)
-                total += (rates_of(p, steps, how.most) * n) @ p
+                total += (rates_of(p, steps, how, anchor) * n) @ p
                 moment += (p * n[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(width + width * width), pa.int32()), pa.array(np.concatenate((total, moment.ravel())))], ["place", "value"])
 
@@ -202,11 +204,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor:
     model = train(docs, labelled, domains, how, key, text)
     members = Staging(docs.sparkSession, "mixing").save(posteriors(docs, model, key, text), "members")
     at = domains.index(anchor)
-    steps, _, _ = descend(members, len(domains), lambda totals: [weights[d] / weights[anchor] * totals[at] for d in domains], how)
+    steps, _, _ = descend(members, len(domains), lambda totals: [weights[d] / weights[anchor] * totals[at] for d in domains], how, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rates = rates_of(_matrix(batch.column(2), len(domains)), steps, how.most)
+            rates = rates_of(_matrix(batch.column(2), len(domains)), steps, how, at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], ["doc_id", "n_tokens", "posterior", "rate"])
 
     rated = members.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
