@@ -50,7 +50,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20, bucket_bytes: int =
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     places = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.sum("__n").over(whole).alias("__all"))
-    placed = scattered.join(F.broadcast(places), "__bucket")  # one row per bucket
+    placed = scattered.join(places, "__bucket")  # deals records out by bucket, as the shuffle of each bucket needs it anyway
 
     names = [*own, "size"]
 
