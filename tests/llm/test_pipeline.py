@@ -1,10 +1,13 @@
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.cases import edited, prose
 from tests.llm.test_near_and_repeats import shingles
+from xylem.llm import queries
 
 
 def test_queries_are_registered():
@@ -13,6 +16,16 @@ def test_queries_are_registered():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "mixing to target weights", "packing"]
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql_of_corpus_queries(spark, name):
+    con, sf_dir = duckdb.connect(), "/root/testdata/sf0.001"
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, sf_dir)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_stages_one_after_the_other(spark):
     """Each stage's decisions, checked by hand on its own input."""
     sf_dir = "/root/testdata/sf0.01"
