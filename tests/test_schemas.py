@@ -119,3 +119,47 @@ def test_contents_and_roots(spark):
     rows = read_nodes(docs, "k", "doc")
     assert {r.k for r in content_violations(rows, "k", record).collect()} == {1, 2, 3, 4}
     assert {r.k for r in wrong_roots(rows, "k", record).collect()} == {3, 4}
+
+
+def model(body, rest=""):
+    return schema(f'{rest}<xs:element name="r"><xs:complexType>{body}</xs:complexType></xs:element>')
+
+
+A, B = '<xs:element name="a"/>', '<xs:element name="b"/>'
+OPTIONAL, ANY = '<xs:element name="a" minOccurs="0"/>', '<xs:any namespace="##any" minOccurs="0"/>'
+HEAD = '<xs:element name="h"/><xs:element name="m" substitutionGroup="h"/>'
+
+
+@pytest.mark.parametrize(
+    ("body", "rest"),
+    [
+        (f"<xs:sequence>{OPTIONAL}{A}</xs:sequence>", ""),
+        (f"<xs:choice>{A}<xs:sequence>{A}{B}</xs:sequence></xs:choice>", ""),
+        (f'<xs:sequence><xs:choice minOccurs="0" maxOccurs="unbounded">{A}{B}</xs:choice>{A}</xs:sequence>', ""),
+        (f"<xs:sequence>{ANY}{A}</xs:sequence>", ""),
+        ('<xs:sequence><xs:element ref="h" minOccurs="0"/><xs:element ref="m"/></xs:sequence>', HEAD),
+        (f"<xs:sequence>{OPTIONAL}{ANY}</xs:sequence>", ""),
+        ('<xs:sequence><xs:any namespace="urn:x" minOccurs="0"/><xs:any namespace="##any"/></xs:sequence>', ""),
+        ('<xs:sequence><xs:element name="a" minOccurs="1" maxOccurs="2"/><xs:element name="a"/></xs:sequence>', ""),
+    ],
+)
+def test_ambiguous_content(body, rest):
+    with pytest.raises(SchemaError, match="more than one particle"):
+        model(body, rest)
+
+
+@pytest.mark.parametrize(
+    ("body", "rest"),
+    [
+        (f"<xs:sequence>{A}{OPTIONAL}{B}</xs:sequence>", ""),
+        ('<xs:sequence><xs:element name="a" minOccurs="0" maxOccurs="5"/><xs:element name="b"/></xs:sequence>', ""),
+        (f'<xs:sequence><xs:sequence minOccurs="0" maxOccurs="2">{A}{B}</xs:sequence><xs:element name="c"/></xs:sequence>', ""),
+        (f"<xs:all>{A}{B}</xs:all>", ""),
+        ('<xs:sequence><xs:any namespace="##other" minOccurs="0" maxOccurs="unbounded"/><xs:element name="a"/></xs:sequence>', ""),
+        ('<xs:sequence><xs:any namespace="urn:x" minOccurs="0"/><xs:any namespace="urn:y"/></xs:sequence>', ""),
+        ('<xs:choice maxOccurs="unbounded"><xs:element ref="h"/><xs:element name="c"/></xs:choice>', HEAD),
+        (f'<xs:sequence minOccurs="30" maxOccurs="40">{A}{B}</xs:sequence>', ""),
+    ],
+)
+def test_clear_content(body, rest):
+    model(body, rest)
