@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.llm import mixing, ngram_join, packing, quality, queries, suffix_dedup
-from xylem.llm.common import Staging, table
+from xylem.llm.common import Staging, parted, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
-    groups = ngram_join.link_groups(docs)
-    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    staging = Staging(spark, "near-duplicates")
+    groups = staging.save(ngram_join.link_groups(docs).filter("doc_id is not null"), "groups")
+    # ids that are left out, and ids of several rows; all other rows stay as they are
+    left_out = groups.filter("doc_id <> component_id").select("doc_id")
+    several = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    looked_at = staging.save(left_out.union(several).distinct(), "looked-at")
+    some, others = parted(docs, F.col("doc_id"), looked_at)
+    named = some.filter("doc_id is not null").join(left_out.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionAll(some.filter("doc_id is null")).unionAll(others.select(*docs.columns))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,9 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents at rates up to 1 that bring the domains' tokens to the target weights; those most likely clean all stay."""
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(docs, labelled, mixing.WEIGHTS, "clean", replace(mixing.Mixing(), most=1.0, anchored=1.0))
-    left_out = mixed.filter("copies = 0").select("doc_id").distinct()
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    left_out = Staging(spark, "left-out").save(mixed.filter("copies = 0 and doc_id is not null").select("doc_id").distinct(), "ids")
+    some, others = parted(docs, F.col("doc_id"), left_out)
+    return some.join(left_out, "doc_id", "left_anti").select(*docs.columns).unionAll(others.select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

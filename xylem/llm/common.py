@@ -67,6 +67,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+#: Classes of hashes that tell rows which may join from rows which cannot; so many numbers are broadcast at most.
+CLASSES = 1 << 18
+
+
+def parted(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among the ids (a table with one column), and rows whose key is not. The first are few while the ids
+    are few against CLASSES, and then a join with the ids shuffles little."""
+    of = lambda x: F.pmod(F.xxhash64(x), F.lit(CLASSES)).cast("int")
+    classes = F.broadcast(ids.select(of(F.col(ids.columns[0])).alias("__class")).distinct())
+    marked = rows.withColumn("__class", of(key))
+    return marked.join(classes, "__class", "left_semi").drop("__class"), marked.join(classes, "__class", "left_anti").drop("__class")
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The same words as UTF-8: bytes.split() knows no white space but ASCII's."""
     return text.encode().split() if text else []

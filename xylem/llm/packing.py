@@ -83,19 +83,23 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
         encode = _encoder(path)
         end, width = np.array([end_id], encode.make.kind).tobytes(), int(encode.make.kind[2])
         part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, starts, counts = [], [], []
-            for value in batch.column(1):
-                one = b"".join([*map(encode.__getitem__, byte_words(value.as_py())), end])
-                ids.append(one)
-                starts.append(start)
-                counts.append(len(one) // width)
-                start += len(one) // width
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * n, pa.int32())],
-                ["part", "start", "doc_id", "n", "ids", "width"],
-            )
+        try:
+            for batch in batches:
+                ids, starts, counts = [], [], []
+                for value in batch.column(1):
+                    one = b"".join([*map(encode.__getitem__, byte_words(value.as_py())), end])
+                    ids.append(one)
+                    starts.append(start)
+                    counts.append(len(one) // width)
+                    start += len(one) // width
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * n, pa.int32())],
+                    ["part", "start", "doc_id", "n", "ids", "width"],
+                )
+        finally:  # the worker's memory is for other steps now
+            encode.clear()
+            encode.make.part.clear()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, start long, doc_id long, n long, ids binary, width int")
 
