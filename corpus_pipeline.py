@@ -34,9 +34,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return named.select(*docs.columns).unionAll(some.filter("doc_id is null")).unionAll(others.select(*docs.columns))
 
 
+#: Strings of the dedup stage: all of more than 50 words, whatever their bytes, and those of operator 4.
+PASSAGES = suffix_dedup.Repeats(length=51, gram=16, piece=4, words=True)
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the long strings that occur elsewhere; n_chars is that of the text left."""
-    left = suffix_dedup.without_repeats(docs)
+    left = suffix_dedup.without_repeats(docs, PASSAGES, suffix_dedup.BYTES)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

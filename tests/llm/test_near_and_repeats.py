@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from tests.llm import cases
 from xylem.llm import components, ngram_join, suffix_dedup
 from xylem.llm.common import Staging, pack, unpack
@@ -132,3 +133,32 @@ def test_family_has_levels_of_different_sizes(spark):
     assert family.all().count() == 35
     for name in list(family.made):
         family.remove(name)
+
+
+def brute_words_removed(rows, length):
+    """What is left of each text without the strings of so many words that occur again, and without its white space."""
+    lists = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = Counter(tuple(w[s : s + length]) for w in lists for s in range(len(w) - length + 1))
+    out = Counter()
+    for (name, _), w in zip(rows, lists, strict=True):
+        gone = {s + i for s in range(len(w) - length + 1) if seen[tuple(w[s : s + length])] > 1 for i in range(length)}
+        out[name, tuple(x for i, x in enumerate(w) if i not in gone)] += 1
+    return out
+
+
+def test_removed_words_equal_brute_force(spark):
+    rows = [(r[0], r[1]) for r in cases.rows()]
+    for how in (suffix_dedup.Repeats(length=51, gram=16, piece=4, words=True), suffix_dedup.Repeats(length=12, gram=4, piece=3, batches=5, words=True)):
+        left = Counter((r.doc_id, tuple(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in suffix_dedup.without_repeats(cases.docs(spark), how).collect())
+        assert left == brute_words_removed(rows, how.length)
+
+
+def test_passages_of_over_fifty_words_leave_the_pipeline(spark):
+    """51 short words in fewer than 400 bytes, 50 words, 400 bytes in few words, and white space that differs."""
+    words = [f"{w[:4]}{i}" for i, w in enumerate(cases.prose(9, 140).split())]
+    passage, short, few = words[:51], words[60:110], "".join(words)[:420]
+    assert len(" ".join(passage)) < 400
+    rows = [(1, "aa " + " ".join(passage) + " bb"), (2, "cc  " + "\n".join(passage) + " dd"), (3, "ee " + " ".join(short) + " ff"), (4, "gg " + " ".join(short) + " hh"), (5, "ii " + few + " jj"), (6, "kk " + few + " ll"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert left[1] == "aa  bb" and left[2] == "cc   dd" and left[3] == rows[2][1] and left[4] == rows[3][1] and left[5] == "iijj" and left[7] is None

@@ -1,4 +1,4 @@
-"""Hashes of any stretches of a byte string, by prefix sums of a polynomial."""
+"""Hashes of any stretches of a byte string, or of its words, by prefix sums of a polynomial."""
 
 from __future__ import annotations
 
@@ -34,3 +34,19 @@ class Text:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+class Words(Text):
+    """The words of a byte string, parted by ASCII white space; places are those of words. begin and end: of each word, in bytes."""
+
+    def __init__(self, data: bytes):
+        letters = Text(data)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[letters.values], [True]))))
+        self.begin, self.end = edges[::2], edges[1::2]
+        self.n = len(self.begin)
+        up, self.down = powers(self.n + 1)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(letters.hashes(self.begin, self.end) * up[: self.n], out=self.sums[1:])
