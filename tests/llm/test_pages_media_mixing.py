@@ -32,6 +32,29 @@ def test_tree_matching_aligns_children():
     assert size == 4 and [(x.tag, y.tag) for x, y in pairs] == [("#root", "#root"), ("div", "div"), ("p", "p"), ("p", "p")]
 
 
+def test_names_need_confirming():
+    article = "<div class='layout has-sidebar'><article><p>one two</p><section class='discussion'><p>three</p></section><div class='related-work'>four</div><p class='notice-period'>five</p></article></div>"
+    assert extraction.extract_text(article) == "one two three four five"
+    assert extraction.extract_text("<div id='page' class='no-comments'><p>one two</p></div>") == "one two"
+    assert extraction.extract_text("<p>one two three</p><div class='my-sidebar'><a>four</a></div><section class=discussion><p class=comment>five</p></section><div class=sidebar>six</div>") == "one two three"
+
+
+def test_broken_sections_and_deep_pages():
+    for broken in ("<![foo[bar]]>", "<![ foo ]>"):
+        assert extraction.extract_text(f"<p>a</p>{broken}<p>rest of page</p>") == "a rest of page"
+    for tag in ("div", "b"):
+        assert extraction.extract_text(f"<{tag}>" * 3000 + "deep") == "deep"
+        assert extraction.induce([f"<{tag}>" * 1500 + x for x in "abc"]) == {}
+
+
+def test_templates_decide_inside_articles():
+    page = "<main><h1>{0}</h1><article><p>{1}</p><div class=x><p>Subscribe to us</p></div></article></main>"
+    parts = [(cases.prose(i, 4, 4000), cases.prose(50 + i, 30, 4000)) for i in range(4)]
+    template = {path: frozenset(found) for path, found in extraction.induce([page.format(*p) for p in parts]).items()}
+    assert all(extraction.extract_text(page.format(*p), template) == " ".join(p) for p in parts)
+    assert extraction.extract_text("<div><p>the main text is here</p></div><article>teaser</article>") == "the main text is here teaser"
+
+
 def site(i, words):
     return f"<html><body><div class=x1><p>Our site about things</p></div><div class=x2><p>{words}</p></div><div class=x3><p>All rights kept</p></div></body></html>"
 
