@@ -55,7 +55,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
-    pieces = packing.pack_documents(docs, queries.vocabulary_file("word_bpe_49k.json"))
+    pieces = packing.pack_documents(docs, queries.vocabulary_file("word_bpe_49k.json"), plain=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

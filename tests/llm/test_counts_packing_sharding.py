@@ -101,3 +101,15 @@ def test_fisher_yates_is_uniform():
 def test_crc_of_pieces(spark):
     row = queries.op3_packing(spark, "/root/testdata/sf0.001").filter("start = 0").first()
     assert 0 <= row.ids_crc32 < 1 << 32 and zlib.crc32(b"") == 0
+
+
+def test_special_tokens_by_the_librarys_default(spark, tmp_path):
+    """The registered query's ids are those of the tokenizer as its file has it."""
+    from tokenizers import Tokenizer
+
+    path, texts = queries.vocabulary_file("word_bpe_49k.json"), ["see <|endoftext|> here", "a<|startoftext|>b <|endoftext|>", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [862, 49407, 763, 1]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in queries.op3_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}

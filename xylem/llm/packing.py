@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from xylem.llm.common import Cache, Staging, byte_words
 
-_encoders: dict[str, Cache] = {}
+_encoders: dict[tuple[str, bool], Cache] = {}
 
 #: Letters of ASCII and Latin-1, then ASCII marks without the apostrophe: two pre-tokens at most, which no normalizer but lower case changes.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -38,14 +38,16 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Little-endian ids of a word. White space never is part of a token, so a text's ids are those of its words in a row.
 
+    plain: whether special tokens' strings are ordinary text, or else the special tokens, as is the library's default.
+
     Simple words of a lower-casing model go to its merges directly, each part once; all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.kind, self.model, self.letters = id_kind(self.tokenizer.get_vocab_size()), self.tokenizer.model, byte_letters()
         self.layout = lru_cache(lambda n: struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}"))
         self.part = Cache(self.part_ids)
@@ -66,21 +68,21 @@ class WordEncoder:
         return self.part[found[1].lower()] + self.part[found[2]] if found else self.whole(word.decode())
 
 
-def _encoder(path: str) -> Cache:
-    if path not in _encoders:
-        _encoders[path] = Cache(WordEncoder(path), 1 << 19)
-    return _encoders[path]
+def _encoder(path: str, plain: bool = True) -> Cache:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Cache(WordEncoder(path, plain), 1 << 19)
+    return _encoders[path, plain]
 
 
 def id_kind(vocab: int) -> str:
     return "<u2" if vocab <= 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
     """part, start (in the part), doc_id, n, ids and width (bytes of an id) of every document; a null text has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = _encoder(path, plain)
         end, width = np.array([end_id], encode.make.kind).tobytes(), int(encode.make.kind[2])
         part, start = TaskContext.get().partitionId(), 0
         try:
@@ -125,14 +127,14 @@ def cut(placed: DataFrame, window: int) -> DataFrame:
     return placed.select("doc_id", "place", "n", "ids", "width").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts consist of the end id and so get one piece. Repeated rows and null keys are documents of their own. An
-    empty input has no pieces. Other columns of docs are not read, whatever their names.
+    empty input has no pieces. plain: see WordEncoder. Other columns of docs are not read, whatever their names.
     """
     staging = Staging(docs.sparkSession, "packing")
-    tokens = staging.save(tokenize(docs, tokenizer, end_id, key, text), "tokens")
+    tokens = staging.save(tokenize(docs, tokenizer, end_id, key, text, plain), "tokens")
     totals = tokens.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
