@@ -154,6 +154,21 @@ def test_unreachable_targets_get_the_nearest(spark):
     assert np.allclose(totals, [50, 25])
 
 
+def test_targets_at_the_bound_are_reached(spark):
+    """A target of 0, with posteriors that are never 0, needs many documents at the bound."""
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 500, 2000), rng.dirichlet([3.0, 0.5, 0.3], 2000)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
+    how = mixing.Mixing()
+    steps, totals, wanted = mixing.descend(members, 3, lambda t: [t[0], 0.03 / 0.97 * t[0], 0.0], how)
+    inverse, rates = np.linalg.inv((p * n[:, None]).T @ p), np.ones(2000)
+    for _ in range(20000):
+        rates = np.clip(rates - p @ (inverse @ ((rates * n) @ p - wanted)), 0, how.most)
+    error = lambda t: (t - wanted) @ inverse @ (t - wanted)
+    assert np.allclose((mixing.rates_of(p, steps, how, 0) * n) @ p, totals)
+    assert error(totals) <= 1.001 * error((rates * n) @ p) + 1e-8 * n.sum()
+
+
 def test_anchored_rates_never_fall(spark):
     rows = [(10, [0.6, 0.4])] * 5 + [(10, [0.1, 0.9])] * 5
     members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")

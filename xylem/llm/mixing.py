@@ -1,11 +1,12 @@
 """Mixing of documents to target weights of domains, by soft membership.
 
 A classifier of labelled rows gives every document a posterior over the domains. With n_i tokens and posterior p_i, document i at
-rate r_i adds r_i n_i p_i to the domains' expected token totals. Projected gradient descent finds rates, between 0 and a bound,
-whose totals come closest to the targets in least squares, starting from rate 1. The gradient of a document is its posterior times
-the residual of the totals, so a step needs one small vector from the driver and one sum of small vectors back; residuals are
-scaled by the inverse of the posteriors' second moments, which makes the first step exact where no bound is met. Documents do not
-keep rates between steps: a rate follows from the posterior and the steps so far, so any task can be run again.
+rate r_i adds r_i n_i p_i to the domains' expected token totals. The rates, between bounds, are those whose totals come closest to
+the targets in least squares, scaled by the inverse of the posteriors' second moments, and of those the closest to 1. They are
+found on the dual: one number per domain, its vector, sets all rates, as 1 less its product with the posterior, clipped. Newton
+steps over the documents not at a bound maximize the concave dual; a pass tries a step and its halves at once and brings back small
+sums, and a weight on the distance to rate 1 falls until it no longer counts. Tasks can be run again, as a rate follows from the
+posterior and the vector.
 
 The classifier is multinomial logistic regression on the presence of words, hashed into buckets, that tell the domains apart. It is
 fitted on a bounded sample of labelled rows, those with the least hashes; everything else covers all documents.
@@ -13,6 +14,7 @@ fitted on a bounded sample of labelled rows, those with the least hashes; everyt
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 from xylem.llm.common import LOWER, Cache, Staging
 
 
+logger = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Mixing:
     """labelled_rows: bound of the sample that the classifier is fitted on. buckets: of the word hash. features: that are kept.
     z: from which a bucket tells domains apart. most: bound of the rates. anchored: lower bound of the rates of documents whose
-    likeliest domain is the anchor. steps and tolerance: of the descent."""
+    likeliest domain is the anchor. steps: of Newton's method for each weight. tolerance: of totals and of the gradient, as a share of all tokens."""
 
     labelled_rows: int = 6000
     buckets: int = 1 << 16
@@ -155,38 +160,58 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+#: Weights on the distance to rate 1, one after the other, and how many halves of a step a pass tries.
+WEIGHTS_OF_ONE, HALVES = (1e-2, 1e-4, 1e-6), 10
+
+
 def descend(members: DataFrame, width: int, targets, how: Mixing, anchor: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps of the descent, the totals that they reach, and the targets. targets: from totals at rate 1 to those wanted."""
+    """The vector of the rates as one step from rate 1, the totals that it reaches, and the targets. targets: from totals at rate 1
+    to those wanted."""
+    size = width + width * width + 1
+
+    def sums(vectors: np.ndarray):
+        """Totals, second moments of the documents not at a bound, and sums of the dual, for each vector."""
 
-    def sums(steps: list[np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, moment = np.zeros(width), np.zeros((width, width))
+            found = np.zeros((len(vectors), size))
             for batch in batches:
                 n, p = batch.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(batch.column(1), width)
-                total += (rates_of(p, steps, how, anchor) * n) @ p
-                moment += (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(width + width * width), pa.int32()), pa.array(np.concatenate((total, moment.ravel())))], ["place", "value"])
+                low = np.where(p.argmax(axis=1) == anchor, how.anchored, 0.0) if len(p) else np.zeros(0)
+                for one, vector in zip(found, vectors, strict=True):
+                    shift, rates = p @ vector, rates_of(p, [vector], how, anchor)
+                    free = n * ((1 - shift >= low) & (1 - shift <= how.most))
+                    one[:width] += (rates * n) @ p
+                    one[width:-1] += ((p * free[:, None]).T @ p).ravel()
+                    one[-1] += n @ ((rates - 1) ** 2 / 2 + shift * rates)
+            yield pa.RecordBatch.from_arrays([pa.array(range(found.size), pa.int32()), pa.array(found.ravel())], ["place", "value"])
 
         # a task's share is summed by place; places are few
         rows = members.select("n_tokens", "posterior").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        values = np.zeros(width + width * width)
+        values = np.zeros(len(vectors) * size)
         for r in rows:
             values[r.place] = r.value
-        return values[:width], values[width:].reshape(width, width)
-
-    totals, moment = sums([])
-    wanted, steps = np.asarray(targets(totals), float), []
-    inverse = np.linalg.inv(moment + 1e-9 * max(np.trace(moment), 1.0) * np.eye(width))
-    scale = max(wanted.sum(), 1.0)
-    for _ in range(how.steps):
-        residual = totals - wanted
-        if np.abs(residual).max() <= how.tolerance * scale:
-            break
-        steps.append(inverse @ residual)
-        before, (totals, _) = np.abs(totals - wanted).max(), sums(steps)
-        if before - np.abs(totals - wanted).max() < 1e-3 * how.tolerance * scale:  # the bounds allow no closer
-            break
-    return steps, totals, wanted
+        values = values.reshape(len(vectors), size)
+        return values[:, :width], values[:, width:-1].reshape(-1, width, width), values[:, -1]
+
+    at = np.zeros(width)
+    (totals, *_), (moment, *_), _ = sums(at[None])
+    wanted = np.asarray(targets(totals), float)
+    base = moment + 1e-9 * max(np.trace(moment), 1.0) * np.eye(width)
+    limit, free, missed = how.tolerance * max(wanted.sum(), 1.0), moment, False
+    for weight in WEIGHTS_OF_ONE:
+        for _ in range(how.steps):
+            slope = totals - wanted - weight * base @ at
+            if missed := np.abs(slope).max() > limit:
+                step = np.linalg.solve(free + weight * base, slope)
+                tried = at + step * 0.5 ** np.arange(HALVES)[:, None]
+                found, moments, duals = sums(tried)
+                best = int(np.argmax(duals - tried @ wanted - weight / 2 * np.einsum("ij,jk,ik->i", tried, base, tried)))
+                at, totals, free = tried[best], found[best], moments[best]
+            else:
+                break
+    report = "the rates bring totals to %s; wanted are %s"
+    logger.log(logging.WARNING if missed else logging.INFO, ("not converged: " if missed else "") + report, totals.tolist(), wanted.tolist())
+    return [at], totals, wanted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, how: Mixing = Mixing(), key: str = "doc_id", text: str = "text") -> DataFrame:
