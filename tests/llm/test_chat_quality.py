@@ -91,17 +91,18 @@ def test_scores_follow_from_whole_counts(spark):
     trusted = {0, 3, 6}
     got = {r.doc_id: r for r in quality.judge(docs, labels(spark, [(i, 1, 0) for i in trusted]), rules).collect()}
     hashed = docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).select("doc_id", quality.grams(F.col("h"), rules).alias("g")).collect()
-    raw, target = Counter(), Counter()
-    for r in hashed:
-        raw.update(r.g)
-        if r.doc_id in trusted:
-            target.update(r.g)
+    half = {r.id: r.half for r in spark.range(51).select("id", F.pmod(F.xxhash64("id", F.lit(rules.seed)), F.lit(2)).alias("half")).collect()}
+    raw = Counter(b for r in hashed for b in r.g)
     s, n = rules.smoothing, rules.buckets
-    ratio = {b: round(1_000_000 * math.log((target[b] + s) / (sum(target.values()) + s * n) * (sum(raw.values()) + s * n) / (raw[b] + s))) for b in raw}
-    scores = {r.doc_id: math.floor(sum(ratio[b] for b in r.g) / len(r.g)) for r in hashed}
-    assert {i: r.score for i, r in got.items()} == scores
-    least = min(scores[i] for i in trusted)
-    assert all(r.kept == (not r.base_failed and r.score >= least) for r in got.values())
+
+    def scores(seen):
+        target = Counter(b for r in hashed if r.doc_id in seen for b in r.g)
+        ratio = {b: round(1_000_000 * math.log((target[b] + s) / (sum(target.values()) + s * n) * (sum(raw.values()) + s * n) / (raw[b] + s))) for b in raw}
+        return {r.doc_id: math.floor(sum(ratio[b] for b in r.g) / len(r.g)) for r in hashed}
+
+    assert {i: r.score for i, r in got.items()} == scores(trusted)
+    held_out = [scores({j for j in trusted if half[j] != half[i]})[i] for i in trusted]
+    assert all(r.kept == (not r.base_failed and r.score >= min(held_out)) for r in got.values())
     assert not got[50].kept
 
 
