@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tests.llm import cases
@@ -59,6 +60,8 @@ def test_groups_of_many_near_copies(spark):
     want = brute_groups(rows)
     assert groups(docs) == want
     assert groups(docs, counter_bits=6, block_entries=50, hubs=1, compared=1, worthwhile=1.0) == want
+    # columns dealt to several blocks, and all pairs of parts multiplied apart
+    assert groups(docs, counter_bits=18, block_entries=50, hot=2, column=3, worthwhile=1.0) == want
 
 
 def test_bounds_are_safe():
@@ -98,11 +101,10 @@ def brute_removed(rows, length):
     return out
 
 
-def removed(df, how):
+def removed(df, *how, **more):
     out = Counter()
-    for r in suffix_dedup.removed_spans(df, how).collect():
-        kept = r.whole_sha256 if r.kept is None else hashlib.sha256(r.kept).hexdigest()
-        out[r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), kept] += 1
+    for r in suffix_dedup.removed_spans(df, *how, **more).collect():
+        out[r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), r.kept_sha256] += 1
     return out
 
 
@@ -125,14 +127,44 @@ def test_repeats_at_the_edge_of_the_length(spark):
     assert left[6].startswith("z")
 
 
-def test_family_has_levels_of_different_sizes(spark):
-    family = suffix_dedup.Family(Staging(spark, "family"))
-    for batch in range(7):
-        family.add(spark.createDataFrame([(batch % 3, batch, i) for i in range(5)], "key long, text long, at long"))
-    assert [size for size, _ in family.levels] == [4, 2, 1] or sum(size for size, _ in family.levels) == 7
-    assert family.all().count() == 35
-    for name in list(family.made):
-        family.remove(name)
+def test_family_takes_later_batches(spark, tmp_path):
+    """A stored family is opened again for each batch; what is removed then equals brute force over all batches so far."""
+    rows, how = [(r[0], r[1]) for r in cases.rows()], suffix_dedup.Repeats(length=60, gram=20, piece=7)
+    for batch in range(5):
+        docs = spark.createDataFrame(rows[batch::5], "doc_id long, text string")
+        suffix_dedup.Family(spark, f"file://{tmp_path}/family", how).add(suffix_dedup.texts_of(docs, "text", how.least))
+        family = suffix_dedup.Family(spark, f"file://{tmp_path}/family", how)
+        sizes = [size for size, _ in family.levels]
+        assert len(family.batches) == batch + 1 and len(sizes) <= 3 and all(a >= b for a, b in zip(sizes, sizes[1:])) or batch < 2
+        if batch in (1, 4):
+            so_far = [r for b in range(batch + 1) for r in rows[b::5]]
+            assert removed(spark.createDataFrame(so_far, "doc_id long, text string"), how, families=[family]) == brute_removed(so_far, 60)
+    for size, name in family.levels:
+        heads = [bytes(r.head) for r in spark.table(name).select("head").collect()]
+        assert len(set(heads)) == len(heads) == size
+    counts = Counter()
+    for _, name in family.levels:
+        counts.update({bytes(r.head): r.n for r in spark.table(name).collect()})
+    want = Counter()
+    for _, text in rows:
+        units = how.units((text or "").encode())
+        want.update(units.heads(suffix_dedup.anchors_of(units, how)[0], how.gram))
+    assert set(counts) == set(want)
+    with pytest.raises(ValueError, match="other strings"):
+        suffix_dedup.Family(spark, f"file://{tmp_path}/family", suffix_dedup.Repeats())
+    family.drop()
+
+
+def test_anchors_do_not_depend_on_chunks(monkeypatch):
+    how, text = suffix_dedup.Repeats(length=60, gram=20), suffix_dedup.Text((cases.prose(4, 300) + "ab" * 200).encode())
+    whole = suffix_dedup.anchors_of(text, how)
+    hashes = text.hashes(np.arange(text.n - 19), np.arange(20, text.n + 1))
+    of = np.repeat(whole[0], whole[3] - whole[2] + 1)
+    kept = hashes >> np.uint64(7) << np.uint64(7)
+    assert [int(np.argmin(kept[s : s + 41])) + s for s in range(len(of))] == of.tolist()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 37)
+    for a, b in zip(whole, suffix_dedup.anchors_of(text, how), strict=True):
+        assert (a == b).all()
 
 
 def brute_words_removed(rows, length):

@@ -35,6 +35,13 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> Staging:
+        """Tables under a given folder."""
+        made = cls.__new__(cls)
+        made.spark, made.root = spark, root.rstrip("/")
+        return made
+
     def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         """df as a table that was written and is read again. batch_rows: how many rows reach Python at once, where rows are long."""
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,13 +53,29 @@ class Staging:
             self.spark.conf.set(key, before)
         return self.read(name, df)
 
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def read(self, name: str, like: DataFrame | str) -> DataFrame:
+        """like: a DataFrame with the table's columns, or their schema."""
+        return self.spark.read.schema(like if isinstance(like, str) else like.schema).parquet(f"{self.root}/{name}")
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        path, system = self._path(name)
+        return system.exists(path)
 
     def drop(self, name: str) -> None:
         """Removes a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._path(name)
+        system.delete(path, True)
+
+    def close(self) -> None:
+        """Removes all tables."""
+        self.drop("")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +90,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null texts are empty ones."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 #: Classes of hashes that tell rows which may join from rows which cannot; so many numbers are broadcast at most.
 CLASSES = 1 << 18
 
@@ -80,6 +108,17 @@ def parted(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, Dat
     return marked.join(classes, "__class", "left_semi").drop("__class"), marked.join(classes, "__class", "left_anti").drop("__class")
 
 
+def told_apart(docs: DataFrame, decided: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with what is decided of them, and rows of which nothing is. decided: doc_id, digest (of the text) and more columns,
+    each id and digest once. The first have docs' columns and __id, __digest and the further columns of decided, null in rows that
+    were looked at in vain."""
+    mark = lambda name, digest: F.xxhash64(name, digest)
+    keyed = docs.withColumns({"__id": F.col(key).cast("long"), "__digest": text_key(F.col(text))})
+    some, others = parted(keyed, mark("__id", "__digest"), decided.select(mark("doc_id", "digest").alias("mark")))
+    more = decided.withColumnsRenamed({"doc_id": "__of", "digest": "__text"})
+    return some.join(more, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__text")), "left"), others.select(*docs.columns)
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The same words as UTF-8: bytes.split() knows no white space but ASCII's."""
     return text.encode().split() if text else []

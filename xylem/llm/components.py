@@ -27,4 +27,5 @@ def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
         staging.drop(f"{name}-{turn - 1}")
         labels = new.select("node", "component")
         if new.filter("component <> was").isEmpty():
+            staging.drop(f"{name}-edges")
             return labels

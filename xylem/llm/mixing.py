@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import LOWER, Cache, Staging
-
+from xylem.llm.common import LOWER, Cache, Staging, text_key
 
 logger = logging.getLogger(__name__)
 
@@ -135,7 +134,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], how: Mix
 
 
 def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words) and posterior (array of double) of every row."""
+    """doc_id, digest (of the text), n_tokens (words) and posterior (array of double) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +142,10 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
             texts = batch.column(1).to_pylist()
             rows = [word_buckets(t, shared.value.buckets) for t in texts]
             counts = [len(t.encode().split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(list(shared.value.posteriors(rows)), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(list(shared.value.posteriors(rows)), pa.list_(pa.float64()))], ["doc_id", "digest", "n_tokens", "posterior"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("digest"))
+    return narrow.mapInArrow(run, "doc_id long, digest binary, n_tokens long, posterior array<double>")
 
 
 def rates_of(p: np.ndarray, steps: Sequence[np.ndarray], how: Mixing, anchor: int) -> np.ndarray:
@@ -215,29 +215,29 @@ def descend(members: DataFrame, width: int, targets, how: Mixing, anchor: int =
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, how: Mixing = Mixing(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posterior, rate and copies of every row.
+    """doc_id, digest (of the text), n_tokens, posterior, rate and copies of every row.
 
     labelled: doc_id and domain. weights: target share of tokens of each domain; the anchor domain's expected total stays and the
-    others' follow from the weights. copies: the whole part of the rate, and one more if the document's hash, seen as a number from
-    0 to 1, is below the rest; so expected counts are the rates and a document is treated alike in each run.
+    others' follow from the weights. copies: the whole part of the rate, and one more if the hash of id and text, seen as a number
+    from 0 to 1, is below the rest; so expected counts are the rates and a document is treated alike in each run.
 
     Null and blank texts have no tokens and the posterior of no words. Null keys are never labelled; repeated rows are repeated.
     Rows whose domain has no weight are not labels. Without labels all posteriors are equal. Other columns of docs are not read,
-    whatever their names. An empty input has no rows.
+    whatever their names. An empty input has no rows. A very long text's words are in the memory of a task as a whole.
     """
     domains = sorted(weights)
     model = train(docs, labelled, domains, how, key, text)
-    members = Staging(docs.sparkSession, "mixing").save(posteriors(docs, model, key, text), "members")
+    members = Staging(docs.sparkSession, "mixing").save(posteriors(docs, model, key, text), "members", batch_rows=1000)
     at = domains.index(anchor)
     steps, _, _ = descend(members, len(domains), lambda totals: [weights[d] / weights[anchor] * totals[at] for d in domains], how, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rates = rates_of(_matrix(batch.column(2), len(domains)), steps, how, at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], ["doc_id", "n_tokens", "posterior", "rate"])
+            rates = rates_of(_matrix(batch.column(3), len(domains)), steps, how, at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], ["doc_id", "digest", "n_tokens", "posterior", "rate"])
 
-    rated = members.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
-    chance = F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rated = members.mapInArrow(run, "doc_id long, digest binary, n_tokens long, posterior array<double>, rate double")
+    chance = F.pmod(F.xxhash64(F.lit(how.seed), "doc_id", "digest"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 

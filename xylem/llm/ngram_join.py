@@ -1,21 +1,28 @@
 """Jaccard join of documents on their word n-grams, and the groups that the links form.
 
-The join is a sparse product of the document by n-gram incidence with itself, computed in blocks of n-grams. Four bounds that
-follow from the sizes keep the product small and lose no pair that reaches the threshold t:
+The join is a sparse product of the document by n-gram incidence with itself, computed in blocks of n-grams: in a column, each two
+documents add one to their overlap. Bounds that follow from the sizes keep the product small and lose no pair that reaches the
+threshold t:
 
-* rows are ordered from rare to frequent n-grams, and only the first |A| - ceil(t |A|) + 1 entries of a row are multiplied, as two
-  sets with similarity t share an n-gram among those;
+* rows are ordered from rare to frequent n-grams, and only the first |A| - ceil(t |A|) + 1 entries of a row are in the blocks, as
+  two sets with similarity t share an n-gram among those;
 * sets whose sizes differ by more than the factor t are not paired;
 * an n-gram at place i of A leaves |A| - i entries for the overlap, which must reach t / (1 + t) (|A| + |B|);
 * parity signatures of the sets differ in no more bits than the sets have elements that are not common.
 
+Overlaps over the blocks are added up pair by pair in partial aggregates; for pairs that the bounds let pass the rest of both rows is
+multiplied too, and the whole overlap decides. Rows are hashed once and kept as sorted arrays until then.
+
 Frequencies come from a table of counters of fixed size over all documents. It orders n-grams; when counters are shared the order
-is less sharp and no less exact. Equal sets are one node, so copies cost nothing. Groups need no pair inside a group that is linked
-already: in turns, each node is compared with a few nodes of other groups, those that most of its columns suggest, until a turn
-finds few links; only pairs of nodes that are then still in different groups are multiplied out. Every link counted is
-verified on the whole sets.
+is less sharp and no less exact. A task ships its counters compressed, one or two percent of what it read.
+
+Equal sets are one row, so copies cost nothing. Groups need no pair inside a group that is linked already, so the product is taken
+in turns: each row by a few representatives of its columns first, and their greatest overlaps are completed, until a turn finds few
+links; then all rows that still are in different groups. A column with very many entries is dealt to several blocks, and pairs of
+blocks are multiplied apart.
 
-N-grams, words and sets are compared by 64-bit hashes.
+N-grams are compared by 64-bit hashes, within columns and pairs of rows. Rows stand for equal sets by 128 bits: should two sets agree
+in the 64 that name them, other names are drawn.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import LOWER, Staging, mixed, pack, unpack
+from xylem.llm.common import LOWER, Staging, mixed, pack, parted, text_key, told_apart, unpack
 from xylem.llm.components import components
 from xylem.llm.rolling import Text
 
@@ -43,9 +50,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Join:
-    """words: of a shingle. percent: the threshold. counter_bits: of the frequency table's size (4 bytes each). block_entries: of a
-    block of the product, so of a task's memory. hubs: nodes that a column suggests for comparison in a turn. compared: of a node's
-    candidates in a turn. worthwhile: share of links among a turn's comparisons up to which there are no more turns."""
+    """words: of a shingle. percent: the threshold. counter_bits: of the frequency table's size (4 bytes each). hubs:
+    representatives of a column in a turn. compared: of a row's pairs that are completed in a turn. worthwhile: share of links among
+    a turn's pairs up to which there are no more turns. block_entries: of a block of the product, so of a task's memory. hot: entries
+    from which a column is dealt to several blocks; a table's counter shows it, if it is far above the mean. column: entries of a
+    column that are multiplied with each other in one go."""
 
     words: int = 5
     percent: int = 75
@@ -54,6 +63,8 @@ class Join:
     compared: int = 2
     worthwhile: float = 0.05
     block_entries: int = 500_000
+    hot: int = 500_000
+    column: int = 4096
 
     def linked(self, overlap, a, b):
         return 100 * overlap >= self.percent * (a + b - overlap)
@@ -84,9 +95,9 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def node_of(own: np.ndarray) -> int:
+def node_of(own: np.ndarray, seed: int) -> int:
     """One number for equal sets, as a signed long."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), 5))))
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), seed))))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -95,19 +106,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _survey(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n, node of every row, and beside them each task's counters in segments."""
+def _survey(docs: DataFrame, join: Join, seed: int) -> DataFrame:
+    """doc_id, digest, n, node and twin (64 further bits) of every row, and beside them each task's counters in segments."""
     size, segments = 1 << join.counter_bits, 64
+    names = ["doc_id", "digest", "n", "node", "twin", "part", "segment", "counters"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, shift = np.zeros(size, np.uint32), np.uint64(64 - join.counter_bits)
-        names = ["doc_id", "n", "node", "part", "segment", "counters"]
         for batch in batches:
-            counts, nodes, places, held = [], [], [], 0
+            counts, nodes, twins, places, held = [], [], [], [], 0
             for text in batch.column(1):
                 own = shingles(text.as_py(), join.words)
                 counts.append(len(own))
-                nodes.append(node_of(own) if len(own) else None)
+                nodes.append(node_of(own, seed) if len(own) else None)
+                twins.append(node_of(own, seed + 1) if len(own) else None)
                 places.append((own >> shift).astype(np.int64))
                 held += len(own)
                 if held > 1_000_000:
@@ -115,15 +127,13 @@ def _survey(docs: DataFrame, join: Join) -> DataFrame:
                     places, held = [], 0
             if places:
                 counters += np.bincount(np.concatenate(places), minlength=size).astype(np.uint32)
-            n, none = len(counts), lambda kind: pa.nulls(len(counts), kind)  # noqa: B023
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names)
+            none = lambda kind: pa.nulls(len(counts), kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (counts, nodes, twins)), none(pa.int32()), none(pa.int32()), none(pa.binary())], names)
         blobs = [pack(x) for x in np.split(counters, segments)]
-        n = segments
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], names
-        )
+        empty = [pa.nulls(segments, pa.binary() if name == "digest" else pa.int64()) for name in names[:5]]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([TaskContext.get().partitionId()] * segments, pa.int32()), pa.array(range(segments), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, part int, segment int, counters binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, node long, twin long, part int, segment int, counters binary")
 
 
 def _counters(survey: DataFrame, join: Join) -> np.ndarray:
@@ -145,8 +155,9 @@ def _counters(survey: DataFrame, join: Join) -> np.ndarray:
 _ENTRY = ("<u8", "<i8", "<u4", "<u4")
 
 
-def _entries(docs: DataFrame, counters, join: Join, blocks: int) -> DataFrame:
-    """block and packed entries (n-gram, node, size, place) of all prefixes. counters: a broadcast."""
+def _entries(docs: DataFrame, counters, join: Join, blocks: int, limit: int, more: int, seed: int) -> DataFrame:
+    """block and packed entries (n-gram, node, size, place) of all prefixes. counters: a broadcast. Entries of columns whose counter
+    is above the limit are dealt, by n-gram and node, to more blocks behind the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = counters.value, np.uint64(64 - join.counter_bits)
@@ -155,7 +166,7 @@ def _entries(docs: DataFrame, counters, join: Join, blocks: int) -> DataFrame:
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch.column(1):
                 own = shingles(text.as_py(), join.words)
-                if not len(own) or (node := node_of(own)) in seen:
+                if not len(own) or (node := node_of(own, seed)) in seen:
                     continue
                 seen.add(node)
                 n = len(own)
@@ -166,9 +177,11 @@ def _entries(docs: DataFrame, counters, join: Join, blocks: int) -> DataFrame:
                 continue
             arrays = [np.concatenate(c) for c in columns]
             of = (arrays[0] % np.uint64(blocks)).astype(np.int64)
+            hot = table[(arrays[0] >> shift).astype(np.int64)] > limit
+            of[hot] = blocks + (mixed(arrays[0][hot] ^ arrays[1][hot].view(np.uint64)) % np.uint64(more)).astype(np.int64)
             order = np.argsort(of, kind="stable")
-            starts = np.searchsorted(of[order], np.arange(blocks + 1))
-            rows = [(b, pack(*(a[order[starts[b] : starts[b + 1]]] for a in arrays))) for b in range(blocks) if starts[b] < starts[b + 1]]
+            starts = np.searchsorted(of[order], np.arange(blocks + more + 1))
+            rows = [(b, pack(*(a[order[starts[b] : starts[b + 1]]] for a in arrays))) for b in range(blocks + more) if starts[b] < starts[b + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "entries"])
 
     return docs.mapInArrow(run, "block int, entries binary")
@@ -201,8 +214,9 @@ def _partnered(gram: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndar
     return [a[fits] for a in (gram, node, n, place)]
 
 
-def _columns(entries: DataFrame, join: Join) -> DataFrame:
-    """block, entries of the columns that at least two nodes share and that bounds allow to link."""
+def _columns(entries: DataFrame, join: Join, blocks: int) -> DataFrame:
+    """block, entries of the columns that at least two nodes share and that bounds allow to link; all entries of blocks that hold
+    parts of columns."""
 
     def run(block: pa.Table) -> pa.Table:
         parts = [unpack(b.as_py(), *_ENTRY) for b in block.column("entries")]
@@ -211,191 +225,229 @@ def _columns(entries: DataFrame, join: Join) -> DataFrame:
         gram, node, n, place = gram[order], node[order], n[order], place[order]
         fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
         gram, node, n, place = gram[fresh], node[fresh], n[fresh], place[fresh]
-        arrays = _partnered(*_partnered(gram, node, n, place, join), join)
+        arrays = [gram, node, n, place]
+        if block.column("block")[0].as_py() < blocks:
+            arrays = _partnered(*_partnered(*arrays, join), join)
         return pa.table([block.column("block")[:1].cast(pa.int32()), pa.array([pack(*arrays)], pa.binary())], ["block", "entries"])
 
     return entries.groupBy("block").applyInArrow(run, "block int, entries binary")
 
 
 def _exploded(columns: DataFrame) -> DataFrame:
+    """gram, node, n, place of all entries, a row for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, blob in zip(batch.column(0), batch.column(1), strict=True):
+            for blob in batch.column(1):
                 gram, node, n, place = unpack(blob.as_py(), *_ENTRY)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(gram), block.as_py(), np.int32)), pa.array(gram.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["block", "gram", "node", "n", "place"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "node", "n", "place"])
 
-    return columns.mapInArrow(run, "block int, gram long, node long, n int, place int")
+    return columns.mapInArrow(run, "gram long, node long, n int, place int")
 
 
-def _votes(gram: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, turn: int, join: Join) -> pa.RecordBatch:
-    """a, b, votes: how many columns suggest that a be compared with b, a node of another group and of a fitting size.
+def _by_hubs(apart: DataFrame, turn: int, join: Join) -> DataFrame:
+    """a, b: of the product of all rows by representatives, the pairs with each row's greatest overlaps so far.
 
-    A column, sorted by gram, suggests a few of its own nodes to all others: those with the least hashes, other ones in each turn and only one in the first, when all columns have a say.
+    The representatives of a column are its nodes with the least hashes, other ones in each turn and only one in the first, when
+    all columns have a say. Of a column, no more than its entries times these few are added up.
     """
-    starts, ends = _runs(gram)
-    of = np.repeat(np.arange(len(starts)), ends - starts)
-    pairs: list[np.ndarray] = [np.empty((2, 0), np.int64)]
-    for i in range(join.hubs if turn else 1):
-        order = np.lexsort((mixed(node.view(np.uint64) ^ np.uint64(turn * join.hubs + i + 1)), of))
-        hub = order[starts][of]
-        small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
-        fit = (component != component[hub]) & (100 * small >= join.percent * large)
-        pairs.append(np.stack((node[fit], node[hub[fit]])))
-    a, b = np.concatenate(pairs, axis=1)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.diff(np.append(fresh, len(a))))], ["a", "b", "votes"])
-
-
-def _chosen(votes: DataFrame, join: Join) -> DataFrame:
-    """a, b: of each node's candidates, those with the most votes. A node has as many candidates as columns suggest, no more."""
-    best = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False).alias("best"))
+    hubs = range(join.hubs if turn else 1)
+    one = F.struct("node", "n", "component")
+    chosen = apart.groupBy("gram").agg(*(F.min_by(one, F.struct(F.xxhash64("node", F.lit(turn * join.hubs + i)), "node")).alias(f"hub{i}") for i in hubs))
+    products = apart.join(chosen, "gram").select("node", "n", "component", F.explode(F.array_distinct(F.array(*(f"hub{i}" for i in hubs)))).alias("hub"))
+    small, large = F.least("n", "hub.n"), F.greatest("n", "hub.n")
+    fit = products.filter((F.col("component") != F.col("hub.component")) & (100 * small >= join.percent * large))
+    overlaps = fit.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("overlap"))
+    # a node has as many candidates as its columns have representatives, no more
+    best = overlaps.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False).alias("best"))
     pairs = best.select("a", F.explode(F.slice("best", 1, join.compared)).alias("one")).select("a", "one.b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _first_candidates(columns: DataFrame, join: Join) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(1):
-                gram, node, n, _ = unpack(blob.as_py(), *_ENTRY)
-                yield _votes(gram, node, n.astype(np.int64), node, 0, join)
-
-    return _chosen(columns.mapInArrow(run, "a long, b long, votes long"), join)
-
-
-def _next_candidates(apart: DataFrame, turn: int, join: Join) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(batches, _APART)
-        gram, node, n, component = (held.column(c).to_numpy() for c in ("gram", "node", "n", "component"))
-        order = np.argsort(gram, kind="stable")
-        yield _votes(gram[order], node[order], n[order].astype(np.int64), component[order], turn, join)
-
-    return _chosen(apart.repartition("gram").mapInArrow(run, "a long, b long, votes long"), join)
-
-
-_APART = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("component", pa.int64())])
+_APART = ["gram", "node", "n", "place", "component"]
 
 
 def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """gram, node, n, place, component of the columns whose nodes are in several groups. rows: of columns that once were so."""
     rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    return rows.join(several, "gram").select(*_APART.names)
+    return rows.join(several, "gram").select(*_APART)
 
 
-def _between(apart: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """a, b of different groups that share an entry and pass the bounds of sizes, places and signatures."""
-    signed = apart.join(texts.select("node", "signature"), "node").select(*_APART.names, "signature")
+def _dealt(apart: DataFrame, join: Join) -> DataFrame:
+    """The rows of apart with block, part and mixed: a long column is dealt to parts, and each two of its parts meet in a block."""
+    counts = apart.groupBy("gram").agg(F.ceil(F.count("*") / join.column).cast("int").alias("parts")).filter("parts > 1")
+    dealt = apart.join(counts, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("gram", F.least("part", "other"), F.greatest("part", "other"))
+    # the rows of a part meet each other once, in the block of the part with itself
+    return dealt.select(block.alias("block"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part"), *_APART)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(batches, _APART.append(pa.field("signature", pa.binary())))
-        gram, node, n, place, component = (held.column(i).to_numpy() for i in range(5))
-        bits = np.frombuffer(b"".join(held.column(5).to_pylist()), np.uint64).reshape(len(gram), -1)
-        order = np.lexsort((n, gram))
-        gram, node, component, bits = gram[order], node[order], component[order], bits[order]
-        n, place = n[order].astype(np.int64), place[order].astype(np.int64)
+
+def _between(apart: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """a, b of different groups that share an entry and pass the bounds of sizes, places and signatures: the product of all that is
+    not linked yet."""
+    names = ["block", "part", *_APART, "signature"]
+    signed = _dealt(apart, join).join(rows.select("node", "signature"), "node").select(*names)
+
+    def multiplied(part: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of one block, whose rows are in the order of their sizes: partners of a row from it on are a range."""
         t = join.percent
-        found, held_pairs = [], 0
-        starts, ends = _runs(gram)
-        for lo, hi in zip(starts, ends, strict=True):
-            for i in range(lo, hi - 1):
-                # sizes are sorted, so partners of i from here on are a range
-                stop = lo + np.searchsorted(n[lo:hi], 100 * n[i] // t, "right")
-                j = np.arange(i + 1, stop)
-                if not len(j):
+        stops = np.searchsorted(n, 100 * n // t, "right")
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, stops[i])
+            if not len(j):
+                continue
+            need = -(-t * (n[i] + n[j]) // (100 + t))
+            good = (component[j] != component[i]) & ((part[j] != part[i]) | (part[i] < 0)) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+            j, need = j[good], need[good]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[i] + n[j] - 2 * need]
+            if len(j):
+                yield np.stack((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block and size, so a block and a batch are all that is held."""
+
+        def of_blocks(held: pa.Table) -> Iterator[np.ndarray]:
+            block, part, _, node, n, place, component = (held.column(c).to_numpy() for c in names[:-1])
+            bits = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint64).reshape(len(block), -1)
+            for lo, hi in zip(*_runs(block), strict=True):
+                if hi - lo > 1:
+                    yield from multiplied(part[lo:hi], node[lo:hi], n[lo:hi].astype(np.int64), place[lo:hi].astype(np.int64), component[lo:hi], bits[lo:hi])
+
+        def pairs() -> Iterator[np.ndarray]:
+            held = None
+            for batch in batches:
+                if not len(batch):
                     continue
-                need = -(-t * (n[i] + n[j]) // (100 + t))
-                good = (component[j] != component[i]) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
-                j, need = j[good], need[good]
-                good = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[i] + n[j] - 2 * need
-                if good.any():
-                    other = node[j[good]]
-                    found.append(np.stack((np.minimum(other, node[i]), np.maximum(other, node[i]))))
-                    held_pairs += len(other)
-                if held_pairs > 500_000:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                    if (held_pairs := found[0].shape[1]) > 250_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][0]), pa.array(found[0][1])], ["a", "b"])
-                        found, held_pairs = [], 0
+                table = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, table]) if held is not None else table
+                block = held.column("block").to_numpy()
+                last = int(np.searchsorted(-(block != block[-1]).astype(np.int8), 0)) if block[0] != block[-1] else 0
+                if last:
+                    yield from of_blocks(held.slice(0, last))
+                    held = held.slice(last).combine_chunks()
+            if held is not None:
+                yield from of_blocks(held)
+
+        found, number = [], 0
+        for some in pairs():
+            found.append(some)
+            number += some.shape[1]
+            if number > 500_000:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                if (number := found[0].shape[1]) > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0][0]), pa.array(found[0][1])], ["a", "b"])
+                    found, number = [], 0
         if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            unique = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(unique[0]), pa.array(unique[1])], ["a", "b"])
 
-    return signed.repartition("gram").mapInArrow(run, "a long, b long").distinct()
+    return signed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """The pairs that are links by their whole sets."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _completed(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """a, b and overlap of the pairs whose rows, multiplied to the end, reach the threshold."""
+    left = pairs.join(rows.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
+    both = left.join(rows.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b").select("a", "b", "row_a", "row_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, second = None, None
         for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if b != last:
-                    last, second = b, shingles(text_b.as_py(), join.words)
-                first = shingles(text_a.as_py(), join.words)
-                keep.append(bool(join.linked(overlap(first, second), len(first), len(second))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep, overlaps = [], []
+            for row_a, row_b in zip(batch.column(2), batch.column(3), strict=True):
+                first, second = (np.frombuffer(x.as_buffer(), np.uint64) for x in (row_a, row_b))
+                overlaps.append(overlap(first, second))
+                keep.append(bool(join.linked(overlaps[-1], len(first), len(second))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlaps, pa.int64())], ["a", "b", "overlap"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, overlap long")
 
 
-def link_groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row.
-
-    Null and blank texts have no shingles and are linked with nothing; their component is their own id. Repeated rows are kept and
-    belong together. A null id is the component only where all ids that links reach are null. Other columns of docs are not read,
-    whatever their names. An empty input has no rows.
-    """
+def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
+    """A table of doc_id, digest (of the text), n and component (a node; null without shingles) of every row. All other tables that
+    led to it are gone."""
     spark = docs.sparkSession
     staging = Staging(spark, "ngram-join")
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = staging.save(_survey(narrow, join), "survey", batch_rows=2000)
-    rows = survey.filter("segment is null").select("doc_id", "n", "node")
-    counters = spark.sparkContext.broadcast(_counters(survey, join))  # 4 << join.counter_bits bytes
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("digest"))
+    for seed in range(5, 1 << 30, 2):
+        survey = staging.save(_survey(narrow, join, seed), "survey", batch_rows=2000)
+        sets = survey.filter("segment is null")
+        if sets.groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).filter("low <> high").isEmpty():
+            break
+    summed = _counters(survey, join)
+    counters = spark.sparkContext.broadcast(summed)  # 4 << join.counter_bits bytes
+    limit = int(max(16 * summed.mean(), join.hot))
+    more = max(1, math.ceil(int(summed[summed > limit].sum()) / join.block_entries))
+    members = staging.save(sets.select("doc_id", "digest", "n", "node"), "members")
+    staging.drop("survey")
+    total = members.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (100 - join.percent) / 100 / join.block_entries))
-    columns = staging.save(_columns(_entries(narrow, counters, join, blocks), join), "columns", batch_rows=2000)
+    columns = staging.save(_columns(_entries(narrow, counters, join, blocks, limit, more, seed), join, blocks), "columns", batch_rows=2000)
+    counters.destroy()
+    several = _exploded(columns)
+    shared = several.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
+    apart = staging.save(several.join(shared, "gram").withColumn("component", F.col("node")).select(*_APART), "apart-0")
+    staging.drop("columns")
 
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    shared = _exploded(columns).select("node").distinct()
-    wanted = nodes.join(shared, "node")
+    wanted = staging.save(members.join(apart.select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest")), "wanted")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), join.words) for t in batch.column(1)]
-            full = batch.append_column("signature", pa.array([signature(s).tobytes() for s in sets], pa.binary()))
-            # one id may have several texts
-            yield full.filter(pa.array([len(s) > 0 and node_of(s) == n for n, s in zip(batch.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
+            rows = [shingles(t.as_py(), join.words) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([signature(r).tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "row", "signature"])
 
-    matched = narrow.join(wanted, narrow.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(own, "node long, text string, signature binary")
-    texts = staging.save(matched.dropDuplicates(["node"]), "texts", batch_rows=2000)
+    some, _ = parted(narrow, F.col("digest"), wanted.select("digest"))
+    once = some.join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
+    rows = staging.save(once.mapInArrow(own, "node long, row binary, signature binary"), "rows", batch_rows=1000)
 
-    links = staging.save(_verified(staging.save(_first_candidates(columns, join), "pairs-0"), texts, join), "links-0", batch_rows=500)
-    turn, more, apart = 0, True, _exploded(columns)
+    links, turn, more_turns = None, 0, True
     while True:
-        groups = components(links, staging, f"groups-{turn}")
-        apart = staging.save(_apart(apart.drop("component"), groups), f"apart-{turn}")
-        turn += 1
-        # while comparisons with few nodes often find links, it is too early to look at all pairs of different groups
-        pairs = staging.save(_next_candidates(apart, turn, join) if more else _between(apart, texts, join), f"pairs-{turn}")
-        new = staging.save(_verified(pairs, texts, join), f"links-{turn}", batch_rows=500)
+        # while overlaps with few rows often are links, it is too early to multiply all rows of different groups
+        pairs = staging.save(_by_hubs(apart, turn, join) if more_turns else _between(apart, rows, join), f"pairs-{turn}")
+        new = staging.save(_completed(pairs, rows, join), f"links-{turn}", batch_rows=500)
         found = new.count()
-        links = links.union(new) if found else links
-        if not more:
-            if found:
-                groups = components(links, staging, "groups")
+        links = new if links is None else links.union(new)
+        last, more_turns = not more_turns, turn == 0 or found > join.worthwhile * pairs.count()
+        staging.drop(f"pairs-{turn}")
+        if turn == 0 or found:
+            groups = components(links, staging, f"groups-{turn}")
+        if last:
             break
-        more = found > join.worthwhile * pairs.count()
+        turn += 1
+        apart = staging.save(_apart(apart.drop("component"), groups), f"apart-{turn}")
+        staging.drop(f"apart-{turn - 1}")
+    out = members.join(groups.withColumnRenamed("component", "of"), "node", "left").select("doc_id", "digest", "n", F.coalesce("of", "node").alias("component"))
+    out = Staging(spark, "near-copies").save(out, "rows")
+    staging.close()
+    return out
 
-    named = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(least, "component").select("node", "component_id")
-    return rows.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def link_groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row.
+
+    Null and blank texts have no shingles and are linked with nothing; their component is their own id. Repeated rows are kept and
+    belong together. A null id is the component only where all ids that links reach are null. Other columns of docs are not read,
+    whatever their names. An empty input has no rows. Very long texts are hashed whole, some forty bytes for each of their own.
+    """
+    rows = _linked(docs, join, key, text)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id")).filter("component is not null")
+    of = rows.join(least, "component", "left")
+    return of.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group: of the least id, and among rows of that id the one whose text has the least digest.
+
+    A null id is greater than all others. Rows are told apart by id and text, so rows that share an id and nothing else all stay,
+    and of rows equal in both one stays. Rows without shingles all stay. All columns stay.
+    """
+    rows = _linked(docs, join, key, text).filter("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"))
+    ranked = rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n")).join(best, "component").withColumn("stays", rank == F.col("best"))
+    decided = Staging(docs.sparkSession, "left-out").save(ranked.filter("n > 1 or not stays").select("doc_id", "digest", "stays"), "rows")
+    told, others = told_apart(docs, decided.withColumnRenamed("stays", "__stays"), key, text)
+    free = told.filter("__stays is null").select(*docs.columns)
+    one = told.filter("__stays").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    return free.unionAll(one).unionAll(others)

@@ -5,7 +5,8 @@ pass tokenizes and notes each document's offset within its partition. Prefix sum
 document its place in the stream, and the second pass cuts each document at the window borders that fall inside it; the pieces on
 both sides of a border are the boundary records. Only the last window is not full.
 
-A document is read once, tokenized once and never shuffled; what is broadcast is one row per partition of the input.
+A document is read once, tokenized once and never shuffled; what is broadcast, and summed in
+one task, is one row of two numbers per partition of the input: some 16 MB for a million partitions.
 """
 
 from __future__ import annotations
@@ -131,10 +132,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts consist of the end id and so get one piece. Repeated rows and null keys are documents of their own. An
-    empty input has no pieces. plain: see WordEncoder. Other columns of docs are not read, whatever their names.
+    empty input has no pieces. plain: see WordEncoder. Other columns of docs are not read, whatever their names. A very long text
+    and its ids are in the memory of a task as a whole.
     """
     staging = Staging(docs.sparkSession, "packing")
-    tokens = staging.save(tokenize(docs, tokenizer, end_id, key, text, plain), "tokens")
+    tokens = staging.save(tokenize(docs, tokenizer, end_id, key, text, plain), "tokens", batch_rows=1000)
     totals = tokens.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))

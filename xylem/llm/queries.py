@@ -37,13 +37,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id",
-        "n_bytes",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"),
-        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
-    )
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "text")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

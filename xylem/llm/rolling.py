@@ -6,35 +6,48 @@ import numpy as np
 
 from xylem.llm.common import mixed
 
-_BASE = 0x9E3779B97F4A7C15
-_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bases and seeds of two hashes that do not depend on each other; together they have 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_LETTERS = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed)) for seed in (0xD1B54A32D192ED03, 0xA0761D6478BD642F)]
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, at least, of the hash's base and of its inverse."""
-    if len(_powers[0]) < n:
+def powers(n: int, which: int = 0) -> list[np.ndarray]:
+    """The first n powers, at least, of a hash's base and of its inverse."""
+    if len(_powers[which][0]) < n:
         size = 1 << n.bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        for i, base in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+            _powers[which][i] = np.cumprod(steps)
+    return _powers[which]
 
 
 class Text:
-    """A byte string whose stretches have 64-bit hashes that do not hang on their place."""
+    """A byte string whose stretches have 64-bit hashes that do not hang on their place. which: of two independent hashes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, which: int = 0):
+        self.data, self.which = data, which
         self.values = np.frombuffer(data, np.uint8)
         self.n = len(self.values)
-        up, self.down = powers(self.n + 1)
+        self._sum(_LETTERS[which][self.values])
+
+    def _sum(self, letters: np.ndarray) -> None:
+        up, self.down = powers(self.n + 1, self.which)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_LETTERS[self.values] * up[: self.n], out=self.sums[1:])
+        np.cumsum(letters * up[: self.n], out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def twin(self) -> Text:
+        """The same text under the other hash."""
+        return type(self)(self.data, 1 - self.which)
+
+    def heads(self, at: np.ndarray, length: int) -> list[bytes]:
+        """The first bytes of the suffixes at the given places."""
+        return [self.data[a : a + length] for a in at.tolist()]
+
 
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
 
@@ -42,11 +55,14 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
 class Words(Text):
     """The words of a byte string, parted by ASCII white space; places are those of words. begin and end: of each word, in bytes."""
 
-    def __init__(self, data: bytes):
-        letters = Text(data)
+    def __init__(self, data: bytes, which: int = 0):
+        letters = Text(data, which)
+        self.data, self.which = data, which
         edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[letters.values], [True]))))
         self.begin, self.end = edges[::2], edges[1::2]
         self.n = len(self.begin)
-        up, self.down = powers(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(letters.hashes(self.begin, self.end) * up[: self.n], out=self.sums[1:])
+        self._sum(letters.hashes(self.begin, self.end))
+
+    def heads(self, at: np.ndarray, length: int) -> list[bytes]:
+        """The first words of the suffixes at the given places, one space between them."""
+        return [b" ".join(self.data[b:e].split()) for b, e in zip(self.begin[at].tolist(), self.end[at + length - 1].tolist(), strict=True)]
