@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each stage's result written and read again as the next one's input.
 
-All stages but the last return the columns of documents. A document is a row with an id; rows of one id are one document. Rows
-without an id go through the stages like others, but are never labelled and never left out as near duplicates.
+All stages but the last return the columns of documents, with any further columns that docs has. Rows stand for themselves: rows of
+one doc_id with different texts are different documents, and what is left out is told by doc_id and text. Null texts are empty, and
+the first stage rejects them; rows without an id are never labelled, and leave as near duplicates only of rows without an id that
+are equal in text. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.llm import mixing, ngram_join, packing, quality, queries, suffix_dedup
-from xylem.llm.common import Staging, parted, table
+from xylem.llm.common import Staging, table, told_apart
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    staging = Staging(spark, "near-duplicates")
-    groups = staging.save(ngram_join.link_groups(docs).filter("doc_id is not null"), "groups")
-    # ids that are left out, and ids of several rows; all other rows stay as they are
-    left_out = groups.filter("doc_id <> component_id").select("doc_id")
-    several = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    looked_at = staging.save(left_out.union(several).distinct(), "looked-at")
-    some, others = parted(docs, F.col("doc_id"), looked_at)
-    named = some.filter("doc_id is not null").join(left_out.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(some.filter("doc_id is null")).unionAll(others.select(*docs.columns))
+    """One document of each group of near duplicates: one of the least id, and of those the one with the least text."""
+    return ngram_join.without_near_copies(docs)
 
 
 #: Strings of the dedup stage: all of more than 50 words, whatever their bytes, and those of operator 4.
-PASSAGES = suffix_dedup.Repeats(length=51, gram=16, piece=4, words=True)
+PASSAGES = suffix_dedup.Repeats(length=51, gram=10, piece=4, words=True)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +39,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at rates up to 1 that bring the domains' tokens to the target weights; those most likely clean all stay."""
+    """Documents at rates up to 1 that bring the domains' tokens to the target weights; those most likely clean all stay. Rows equal
+    in id and text are treated alike."""
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(docs, labelled, mixing.WEIGHTS, "clean", replace(mixing.Mixing(), most=1.0, anchored=1.0))
-    left_out = Staging(spark, "left-out").save(mixed.filter("copies = 0 and doc_id is not null").select("doc_id").distinct(), "ids")
-    some, others = parted(docs, F.col("doc_id"), left_out)
-    return some.join(left_out, "doc_id", "left_anti").select(*docs.columns).unionAll(others.select(*docs.columns))
+    gone = mixed.filter("copies = 0").select("doc_id", "digest").distinct().withColumn("__gone", F.lit(True))
+    told, others = told_apart(docs, Staging(spark, "left-out").save(gone, "rows"), "doc_id", "text")
+    return told.filter("__gone is null").select(*docs.columns).unionAll(others)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
