@@ -5,7 +5,7 @@ from xylem.plans.schema import INT, STRING, Record, Scalar
 from xylem.sources.nodes import content_violations, read_nodes, wrong_roots
 from xylem.xsd import graph
 from xylem.xsd.compile import SchemaError, compile_file, compile_text
-from xylem.xsd.fixtures import ORDERS
+from xylem.xsd.fixtures import VOYAGES
 
 
 def schema(body, **attributes):
@@ -13,17 +13,19 @@ def schema(body, **attributes):
     return compile_text(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" {more}>{body}</xs:schema>')
 
 
-def test_orders_compile_and_read(spark):
-    record = compile_text(ORDERS).record("Order")
+def test_voyages_compile_and_read(spark):
+    record = compile_text(VOYAGES).record("Voyage")
     by_name = {f.name: f for f in record.fields}
-    assert [f.name for f in record.fields] == ["Placed", "Buyer", "Item", "Card", "Cash", "id", "status"]
-    assert by_name["Item"].many and by_name["Item"].type.fields[0].type == INT
-    assert by_name["status"].type.enumeration == ("O", "F", "P") and by_name["Placed"].type.union == (Scalar("date"), Scalar("dateTime"))
-    assert [v.name for v in by_name["Buyer"].type.variants] == ["Company"]
-    text = '<Order xmlns="urn:orders" id="5" status="X"><Placed>2024-01-31</Placed><Buyer partyId="1"><Name>N</Name></Buyer><Item sku="AB-1"><Quantity>2</Quantity><Price>9.5</Price><Sizes>1 2</Sizes></Item><Item sku="bad"><Quantity>x</Quantity><Price currency="EUR">1</Price></Item><Card>c</Card></Order>'
+    assert [f.name for f in record.fields] == ["Begun", "Route", "Ship", "Sail", "Engine", "number", "phase"]
+    leg = by_name["Route"].type.fields[0]
+    assert leg.many and leg.type.fields[0].type == Scalar("int", min_inclusive="0")
+    assert by_name["phase"].type.enumeration == ("O", "F", "P") and by_name["Begun"].type.union == (Scalar("date"), Scalar("gYearMonth"))
+    assert [v.name for v in by_name["Ship"].type.variants] == ["Tanker"]
+    text = '<Voyage xmlns="urn:voyages" number="5" phase="X"><Begun>2024-02</Begun><Route><Leg berth="AB1"><Miles>2</Miles><Hold><Load>9.5</Load></Hold><Draughts>1 2.5</Draughts></Leg><Leg berth="bad"><Miles>-1</Miles><Hold deck="d"><Load unit="kg">1</Load></Hold></Leg></Route><Ship hull="7"/><Engine>e</Engine></Voyage>'
     row = shred(spark.createDataFrame([(text,)], "doc string"), "doc", record).first()
-    assert [e.field for e in row.errors] == ["Item.Quantity", "Item.sku", "status"]
-    assert (row.record.Item[0].Price.value, row.record.Item[0].Price.currency, row.record.Item[1].Price.currency, row.record.Item[0].Sizes) == (9.5, "USD", "EUR", [1, 2])
+    assert [e.field for e in row.errors] == ["Route.Leg.Miles", "Route.Leg.Hold.deck", "Route.Leg.berth", "phase"]
+    first, second = row.record.Route.Leg
+    assert (first.Hold.Load[0].value, first.Hold.Load[0].unit, second.Hold.Load[0].unit, first.Draughts, row.record.Begun) == (9.5, "t", "kg", [1.0, 2.5], "2024-02")
 
 
 def test_content_patterns():
@@ -98,27 +100,41 @@ def test_graphs(spark):
     chunk = {r.node: r.chunk for r in of.collect()}
     assert len({chunk[x] for x in "abc"}) == 1 and all(a >= b for a, b in ((chunk[s], chunk[d]) for s, d in edges.collect()))
     assert all(r.needs < r.chunk for r in graph.chunk_needs(edges, of).collect())
-    frames = graph.catalog(spark, compile_text(ORDERS))
+    frames = graph.catalog(spark, compile_text(VOYAGES))
     assert {r.kind: r["count"] for r in frames["types"].groupBy("kind").count().collect()} == {"simple": 4, "complex": 4, "simple content": 1}
-    assert graph.closure(frames["edges"].select("src", "dst")).filter("src = '{urn:orders}Order' and dst = '{urn:orders}Amount'").count() == 1
+    assert graph.closure(frames["edges"].select("src", "dst")).filter("src = '{urn:voyages}Leg' and dst = '{urn:voyages}Load'").count() == 1
 
 
 def test_ddl_and_field_metadata(spark):
-    record = compile_text(ORDERS).record("Order")
+    record = compile_text(VOYAGES).record("Voyage")
     made = record.typed_schema()
-    assert shred(spark.createDataFrame([("<Order/>",)], "doc string"), "doc", record).schema["record"].dataType.simpleString() == made.simpleString()
-    price = made["Item"].dataType.elementType["Price"].dataType
-    assert price["currency"].metadata == {"xml_name": "currency", "kind": "attribute", "default": "USD"}
+    assert shred(spark.createDataFrame([("<Voyage/>",)], "doc string"), "doc", record).schema["record"].dataType.simpleString() == made.simpleString()
+    load = made["Route"].dataType["Leg"].dataType.elementType["Hold"].dataType["Load"].dataType.elementType
+    assert load["unit"].metadata == {"xml_name": "unit", "kind": "attribute", "default": "t"}
 
 
 def test_contents_and_roots(spark):
-    record = compile_text(ORDERS).record("Order")
-    assert list(record.contents()) == ["Order"]
-    good = '<Order xmlns="urn:orders"><Placed/><Buyer><Name/></Buyer><Item/><Item/><Card/></Order>'
-    docs = spark.createDataFrame([(0, good), (1, good.replace("<Card/>", "<Card/><Cash/>")), (2, good.replace("<Item/>", "")), (3, "<Order/>"), (4, good.replace("urn:orders", "urn:other"))], "k int, doc string")
+    record = compile_text(VOYAGES).record("Voyage")
+    assert list(record.contents()) == ["Voyage"]
+    good = '<Voyage xmlns="urn:voyages"><Begun/><Route><Leg/></Route><Ship/><Sail/></Voyage>'
+    docs = spark.createDataFrame([(0, good), (1, good.replace("<Sail/>", "<Sail/><Engine/>")), (2, good.replace("<Ship/>", "")), (3, "<Voyage/>"), (4, good.replace("urn:voyages", "urn:other"))], "k int, doc string")
     rows = read_nodes(docs, "k", "doc")
     assert {r.k for r in content_violations(rows, "k", record).collect()} == {1, 2, 3, 4}
     assert {r.k for r in wrong_roots(rows, "k", record).collect()} == {3, 4}
+    assert {r.k for r in shred(docs, "doc", record, strict_root=True).filter("exists(errors, e -> e.expected like 'element %')").collect()} == {3, 4}
+
+
+def test_schemas_are_read_to_any_depth(spark):
+    """What does not recur is not cut; what does is kept as markup below the cut."""
+    nested = "".join(f'<xs:complexType><xs:sequence><xs:element name="e{i}"' + (">" if i < 9 else ' type="xs:int"/>') for i in range(10)) + "</xs:sequence></xs:complexType></xs:element>" * 9 + "</xs:sequence></xs:complexType>"
+    at, levels = schema(f'<xs:element name="r">{nested}</xs:element>').record("r"), 0
+    while isinstance(at, Record):
+        at, levels = at.fields[0].type, levels + 1
+    assert (levels, at) == (10, INT)
+    loop = schema('<xs:complexType name="N"><xs:sequence><xs:element name="leaf"><xs:complexType><xs:sequence><xs:element name="x" type="xs:int"/></xs:sequence></xs:complexType></xs:element><xs:element name="kid" type="N" minOccurs="0"/></xs:sequence></xs:complexType><xs:element name="r" type="N"/>').record("r", depth=2)
+    text = "<r><leaf><x>1</x></leaf><kid><leaf><x>2</x></leaf><kid><leaf><x>3</x></leaf></kid></kid></r>"
+    row = shred(spark.createDataFrame([(text,)], "doc string"), "doc", loop).first().record
+    assert (row.leaf.x, row.kid.leaf.x, row.kid.kid) == (1, 2, "<leaf><x>3</x></leaf>")
 
 
 def model(body, rest=""):
