@@ -157,9 +157,11 @@ def test_json_without_a_schema():
         "<a>nan</a>": '{"a":"nan"}',
         "<a> </a>": '{"a":""}',
         "<a/>": '{"a":null}',
+        "<a><t/><t></t><t ></t><t />x</a>": '{"a":{"t":[null,"","",null],"value":"x"}}',
+        "<a><t><!-- /> --></t><t q='/'></t></a>": '{"a":{"t":["",{"@q":"/"}]}}',
     }
     for xml, doc in pairs.items():
-        assert transcode.json_of(xml) == doc
+        assert transcode.json_text(xml) == doc
     assert transcode.xml_of('{"a":{"@x":1,"b":[1,null],"value":"t<"}}') == '<a x="1"><b>1</b><b/>t&lt;</a>'
     assert transcode.xml_of("[1,2]") == "<root>1</root><root>2</root>" and transcode.xml_of('{"a":1,"b":2}', "r") == "<r><a>1</a><b>2</b></r>"
     assert transcode.xml_of('{"a":{}}') == "<a/>" and transcode.xml_of("null") == "<root/>"

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.plans.schema import Record
+from xylem.functions import scalars as S
+from xylem.plans.schema import Record, no_violations, one_violation
 
-#: Elements and attributes match by local name, text is not trimmed, unknown markup is skipped.
-OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
+MALFORMED = "__malformed"
+#: Elements and attributes match by local name, text is not trimmed, unknown markup is skipped, documents that are not read are kept.
+OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
 
 
-def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors: str = "errors", columns: list[str] | None = None) -> DataFrame:
+def root_of(xml: Column) -> tuple[Column, Column]:
+    """Namespace (null for none) and local name of a document's root, from its start tag."""
+    tag = F.regexp_extract(xml, r"(?s)\A\uFEFF?(?:\s+|<\?.*?\?>|<!--.*?-->)*(<[^\s/>]+(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", 1)
+    name = F.regexp_extract(tag, r"\A<([^\s/>]+)", 1)
+    prefix = F.regexp_extract(name, r"\A([^:]*):", 1)
+    key = F.concat(F.lit(r"(?s)\sxmlns"), F.when(prefix != "", F.concat(F.lit(":"), prefix)).otherwise(""), F.lit(r"\s*=\s*[\"']([^\"']*)"))
+    uri = F.call_function("regexp_extract", tag, key, F.lit(1))
+    return F.nullif(uri, F.lit("")), F.regexp_replace(name, r"\A[^:]*:", "")
+
+
+def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors: str = "errors", columns: list[str] | None = None, strict_root: bool = False) -> DataFrame:
     """df with a struct of typed fields and an array of violations; columns keeps from_xml from reading more than is needed.
 
-    Null documents have a null struct and no violations; documents that are not well formed a struct of nulls.
+    Null documents have a null struct and no violations. Documents that are not well formed, or use undefined entities, have a struct
+    of nulls and the violation "well-formed document" without a field. strict_root: a root that is not the record's element, its
+    namespace included, is a violation too. A document is read a second time, in pieces, only where a scalar's text holds a "<".
     """
     wanted = record.only(*columns) if columns else record
-    schema = wanted.read_schema()
-    parsed = df.withColumn("__raw", F.from_xml(F.col(xml), schema, OPTIONS))
-    return parsed.withColumns({into: wanted.typed(F.col("__raw")), errors: wanted.violations(F.col("__raw"))}).drop("__raw")
+    doc, raw = F.col(xml), F.col("__raw")
+    # explode() of one row is a barrier: filters of what is typed are not pushed below it, where they would read documents again
+    parsed = df.select("*", F.explode(F.array(F.from_xml(doc, wanted.read_schema().add(MALFORMED, "string"), OPTIONS))).alias("__raw"))
+    pieces = F.from_xml(doc, wanted.read_schema(pieces=True), OPTIONS)
+    pieces = F.when(raw[MALFORMED].isNull() & F.contains(raw.cast("string"), F.lit("<")), pieces)
+    mended = F.transform(F.array(pieces), lambda p: F.when(p.isNotNull(), wanted.mended(raw, p)).otherwise(wanted.same(raw)))
+    parsed = parsed.select("*", F.explode(mended).alias("__whole"))
+    whole = F.col("__whole")
+    found = [F.when(raw[MALFORMED].isNotNull(), one_violation("", "well-formed document", raw[MALFORMED])).otherwise(wanted.violations(whole))]
+    if strict_root:
+        uri, name = root_of(doc)
+        good = (name == record.name) & uri.eqNullSafe(F.lit(record.namespace))
+        expected = f"element {{{record.namespace}}}{record.name}" if record.namespace else f"element {record.name}"
+        found.append(F.when(raw[MALFORMED].isNull() & ~good, one_violation("", expected, S.clark_name(uri, name))).otherwise(no_violations()))
+    return parsed.withColumns({into: wanted.typed(whole), errors: F.concat(*found)}).drop("__raw", "__whole")
 
 
 def valid(df: DataFrame, mode: str = "PERMISSIVE", errors: str = "errors") -> DataFrame:

@@ -14,7 +14,7 @@ from xylem.functions import scalars as S
 from xylem.operators.publish import publish
 from xylem.operators.shred import shred
 from xylem.plans.schema import BOOL, INT, Field, Record, Scalar
-from xylem.sources.nodes import nodes_of
+from xylem.sources.nodes import Reader
 
 # -- with a schema
 
@@ -104,27 +104,31 @@ def _scalar(text: str):
     return text if trimmed else ""
 
 
-def json_of(xml: str) -> str:
-    """Root tag around its content: attributes with @, children by local name, repeated ones as a list, text as value."""
-    rows = nodes_of(xml)
-    if not rows or rows[0]["kind"] == "error":
-        raise ValueError(rows[0]["text"] if rows else "no root")
-    made: dict[int, dict] = {}
-    for r in reversed(rows):
-        if r["kind"] == "element":
-            children = [c for c in made.pop(r["node"], {"children": []})["children"]][::-1]
-            value: dict | None = {f"@{k.rpartition(':')[2]}": _scalar(v) for k, v in r["attributes"]}
-            for name, child in children:
-                value[name] = [*value[name], child] if isinstance(value.get(name), _Many) else _Many([value[name], child]) if name in value else child
-            if isinstance(value, dict):
-                value = {k: list(v) if isinstance(v, _Many) else v for k, v in value.items()}
-            text = r["text"].strip()
-            if value and text:
-                value["value"] = _scalar(text)
-            result = value or (_scalar(text) if text else "" if not r["empty"] or f"<{r['qname']}></" in xml else None)
-            if r["parent"] is None:
-                return json.dumps({r["name"]: result}, ensure_ascii=False, separators=(",", ":"))
-            made.setdefault(r["parent"], {"children": []})["children"].append((r["name"], result))
+def json_of(nodes: Reader, first: int, end: int) -> str:
+    """Root tag around its content: attributes with @, children by local name, repeated ones as a list, text as value. An element
+    without any content is null if it is written as one tag, and else an empty string. first, end: of a document's rows."""
+    parent, kind, name, text, closed, attributes = (nodes.columns[c] for c in ("parent", "kind", "name", "text", "closed", "attributes"))
+    if first == end or kind[first] == "error":
+        raise ValueError(text[first] if first < end else "no root")
+    children: dict[int, list] = {}
+    for i in range(end - 1, first - 1, -1):
+        if kind[i] != "element":
+            continue
+        value: dict = {f"@{k.rpartition(':')[2]}": _scalar(v) for k, v in attributes[i]}
+        for tag, child in reversed(children.pop(i - first, ())):
+            if tag not in value:
+                value[tag] = child
+            elif isinstance(value[tag], _Many):
+                value[tag].append(child)
+            else:
+                value[tag] = _Many([value[tag], child])
+        inside = text[i].strip()
+        if value and inside:
+            value["value"] = _scalar(inside)
+        result = value or (_scalar(inside) if inside else None if closed[i] else "")
+        if parent[i] is None:
+            return json.dumps({name[i]: result}, ensure_ascii=False, separators=(",", ":"))
+        children.setdefault(parent[i], []).append((name[i], result))
     raise ValueError("no root")
 
 
@@ -176,9 +180,14 @@ def _per_document(df: DataFrame, column: str, into: str, convert) -> DataFrame:
     return kept.mapInArrow(run, made)
 
 
+def json_text(xml: str) -> str:
+    nodes = Reader()
+    return json_of(nodes, 0, nodes.read(xml))
+
+
 def xml_to_json_dynamic(df: DataFrame, xml: str, into: str = "json") -> DataFrame:
     """df with JSON text of each document, and error where there is none."""
-    return _per_document(df, xml, into, json_of)
+    return _per_document(df, xml, into, json_text)
 
 
 def json_to_xml_dynamic(df: DataFrame, doc: str, into: str = "xml", root: str | None = None) -> DataFrame:

@@ -114,6 +114,8 @@ class Scalar:
 
 
 STRING, INT, FLOAT, BOOL = Scalar(), Scalar("int"), Scalar("float"), Scalar("bool")
+#: Text of an element with the markup in it.
+MARKUP = Scalar("markup")
 
 
 @dataclass(frozen=True)
@@ -163,20 +165,53 @@ class Record:
         """The record with some of its fields; what from_xml does not know it skips."""
         return replace(self, fields=tuple(f for f in self.fields if f.name in names))
 
-    def read_schema(self) -> T.StructType:
-        out = T.StructType()
+    def read_schema(self, pieces: bool = False) -> T.StructType:
+        """What from_xml reads. Text beside elements comes in pieces, as an array; pieces: so does that of scalar elements, without
+        what markup inside of them holds, or else their markup is part of the text."""
+        out, parts = T.StructType(), T.ArrayType(T.StringType())
         for f in self.all_fields():
             if f.kind == "any_attribute":
                 continue
             if isinstance(f.type, Record):
-                kind: T.DataType = f.type.read_schema()
-            elif f.nillable and f.kind == "element":
-                kind = T.StructType().add("_VALUE", "string").add("_nil", "string")
+                kind: T.DataType = f.type.read_schema(pieces)
+            elif f.kind == "text":
+                kind = parts
+            elif f.kind == "element" and (pieces or f.nillable):
+                kind = T.StructType().add("_VALUE", parts if pieces else T.StringType())
+                kind = kind.add("_nil", "string") if f.nillable else kind
             else:
                 kind = T.StringType()
             out.add(f.source, T.ArrayType(kind) if f.many else kind)
         return out.add("_type", "string") if self.variants else out
 
+    def mended(self, raw: Column, pieces: Column) -> Column:
+        """raw with the text of scalar elements taken from pieces where it holds markup, or what looks like it."""
+
+        def own(f: Field, value: Column, parts: Column) -> Column:
+            if isinstance(f.type, Record):
+                return f.type.mended(value, parts)
+            if f.type == MARKUP:
+                return value
+            text = lambda v: F.when(F.contains(v, F.lit("<")), F.coalesce(F.array_join(parts._VALUE, ""), F.lit(""))).otherwise(v)
+            return F.when(value.isNotNull(), F.struct(text(value._VALUE).alias("_VALUE"), value._nil.alias("_nil"))) if f.nillable else text(value)
+
+        columns = []
+        for f in self.all_fields():
+            if f.kind == "any_attribute":
+                continue
+            value, parts = raw.getField(f.source), pieces.getField(f.source)
+            if f.kind == "element":
+                value = F.zip_with(value, parts, _binary(lambda v, p, f=f: own(f, v, p))) if f.many else own(f, value, parts)
+            columns.append(value.alias(f.source))
+        if self.variants:
+            columns.append(raw.getField("_type").alias("_type"))
+        return F.when(raw.isNotNull(), F.struct(*columns))
+
+    def same(self, raw: Column) -> Column:
+        """raw with its fields alone."""
+        names = self.read_schema().fieldNames()
+        return F.when(raw.isNotNull(), F.struct(*(raw.getField(n).alias(n) for n in names))) if names else raw
+
     def typed_schema(self) -> T.StructType:
         """What typed() makes; its simpleString() is the DDL of a table for the records."""
         out = T.StructType()
@@ -203,7 +238,7 @@ class Record:
         if f.nillable and f.kind == "element":
             text = F.when(F.coalesce(S.trim(value._nil).isin("true", "1"), F.lit(False)), F.lit(None)).otherwise(F.coalesce(value._VALUE, F.when(value.isNotNull(), F.lit(""))))
         else:
-            text = value
+            text = F.array_join(value, "") if f.kind == "text" else value
         stand_in = f.default if f.default is not None else f.fixed
         if stand_in is not None:
             text = F.coalesce(text, F.lit(stand_in)) if f.kind == "attribute" else F.when(text == "", F.lit(stand_in)).otherwise(text)
@@ -231,31 +266,31 @@ class Record:
             where, value = f"{path}{f.name}", raw.getField(f.source)
             if isinstance(f.type, Record):
                 one = lambda v, f=f, where=where: f.type.violations(v, f"{where}.")
-                found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), _none()) if f.many else F.when(value.isNotNull(), one(value)).otherwise(_none()))
+                found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), no_violations()) if f.many else F.when(value.isNotNull(), one(value)).otherwise(no_violations()))
             else:
                 one = lambda v, f=f, where=where: self._scalar_violations(f, v, where)
-                found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), _none()) if f.many else one(value))
+                found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), no_violations()) if f.many else one(value))
         if self.variants and self.abstract:
             known = [v.name for v in self.variants]
             named = S.local_name(raw.getField("_type"))
-            found.append(F.when(raw.isNotNull() & ~F.coalesce(named.isin(*known), F.lit(False)), _one(f"{path}xsi:type", " | ".join(known), named)).otherwise(_none()))
-        return F.concat(*found) if found else _none()
+            found.append(F.when(raw.isNotNull() & ~F.coalesce(named.isin(*known), F.lit(False)), one_violation(f"{path}xsi:type", " | ".join(known), named)).otherwise(no_violations()))
+        return F.concat(*found) if found else no_violations()
 
     def _scalar_violations(self, f: Field, value: Column, where: str) -> Column:
         text = self._text(f, value)
         parsed = f.type.parse(text)
         bad = text.isNotNull() & parsed.isNull()
-        out = F.when(bad, _one(where, f.type.item.base if f.type.item else f.type.base, text)).otherwise(_none())
+        out = F.when(bad, one_violation(where, f.type.item.base if f.type.item else f.type.base, text)).otherwise(no_violations())
         if f.fixed is not None:
             differs = parsed.isNotNull() & ~parsed.eqNullSafe(f.type.parse(F.lit(f.fixed)))
-            out = F.when(differs, _one(where, f"fixed {f.fixed}", text)).otherwise(out)
+            out = F.when(differs, one_violation(where, f"fixed {f.fixed}", text)).otherwise(out)
         return out
 
 
 VIOLATION = "array<struct<field:string,expected:string,value:string>>"
 
 
-def _none() -> Column:
+def no_violations() -> Column:
     return F.array().cast(VIOLATION)
 
 
@@ -264,7 +299,11 @@ def _unary(f):
     return lambda v: f(v)
 
 
-def _one(where: str, expected: str, value: Column) -> Column:
+def _binary(f):
+    return lambda v, w: f(v, w)
+
+
+def one_violation(where: str, expected: str, value: Column) -> Column:
     return F.array(F.struct(F.lit(where).alias("field"), F.lit(expected).alias("expected"), value.alias("value")))
 
 

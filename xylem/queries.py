@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from xylem.functions import scalars as S
 from xylem.operators import transcode
 from xylem.operators.publish import publish
-from xylem.operators.shred import shred
+from xylem.operators.shred import shred, valid
 from xylem.plans.schema import BOOL, FLOAT, INT, STRING, Builder, Record, Scalar
 from xylem.sources import nodes as N
 from xylem.sources import records as R
@@ -166,7 +166,7 @@ DEFAULTS = Builder("r").attribute("unit", default="kg").element("n", INT, defaul
 def attr_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     docs = table(spark, sf_dir, "part").select(key, F.when(key % 4 == 0, "<r/>").otherwise('<r unit="lb"></r>').alias("doc"))
-    return shred(docs, "doc", DEFAULTS).select(key.alias("key"), F.coalesce("record.unit", F.lit("kg")).alias("unit"))
+    return shred(docs, "doc", DEFAULTS).select(key.alias("key"), "record.unit")
 
 
 @query("SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'none' ELSE p_brand END AS s FROM part")
@@ -177,6 +177,46 @@ def empty_element_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred(docs, "doc", DEFAULTS).select(key.alias("key"), "record.s")
 
 
+@query(
+    """SELECT c_custkey AS key, CASE WHEN c_custkey % 5 IN (1, 2, 3) THEN 'well-formed document' END AS expected,
+    CASE WHEN c_custkey % 5 NOT IN (1, 2, 3) THEN c_custkey END AS a, c_custkey % 5 NOT IN (1, 2, 3) AS kept FROM customer"""
+)
+def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that end too early, close the wrong element or use an undefined entity are violations, and are dropped where asked."""
+    key = F.col("c_custkey")
+    good = F.concat(F.lit("<r>"), element("a", key), F.lit("</r>"))
+    doc = F.when(key % 5 == 1, F.concat(F.lit("<r>"), element("a", key), F.lit("</r"))).when(key % 5 == 2, F.concat(F.lit("<r><a>"), key, F.lit("</b></r>"))).when(key % 5 == 3, F.lit("<r><a>&who;</a></r>")).otherwise(good)
+    rows = shred(table(spark, sf_dir, "customer").select(key, doc.alias("doc")), "doc", PAIR)
+    kept = valid(rows, "DROPMALFORMED").select(key.alias("kept_key"))
+    joined = rows.join(kept, key == F.col("kept_key"), "left")
+    return joined.select(key.alias("key"), F.get("errors", F.lit(0)).expected.alias("expected"), "record.a", F.col("kept_key").isNotNull().alias("kept"))
+
+
+@query("SELECT p_partkey AS key, p_partkey * 10 + 2 AS a, p_name || ' <b>&' AS b FROM part")
+def markup_in_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements inside a scalar are skipped and the text around them is joined; text that only looks like markup stays."""
+    inside = F.concat(F.lit("<a>"), F.col("p_partkey").cast("string"), F.lit("<x y='1'>9<z/></x>2</a><b>"), S.escape_text(F.col("p_name")), F.lit("<i>no</i> &lt;b>&amp;</b>"))
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<r>"), inside, F.lit("</r>")).alias("doc"))
+    return shred(docs, "doc", PAIR).filter("size(errors) = 0").select(F.col("p_partkey").alias("key"), "record.a", "record.b")
+
+
+@query("SELECT s_suppkey AS key, 'Dear ' || s_name || ', of ' AS said, CAST(s_nationkey AS VARCHAR) AS place FROM supplier")
+def text_around_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = Builder("p").text("said").element("place").build()
+    doc = F.concat(F.lit("<p>Dear "), S.escape_text(F.col("s_name")), element("place", F.col("s_nationkey")), F.lit(", of <unknown/></p>"))
+    rows = shred(table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc")), "doc", record)
+    return rows.select(F.col("s_suppkey").alias("key"), "record.said", "record.place")
+
+
+@query("SELECT n_nationkey AS key, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'q' WHEN 2 THEN '{urn:x}r' ELSE 'r' END AS found FROM nation")
+def strict_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of another name, of another namespace and of none are violations."""
+    key = F.col("n_nationkey")
+    doc = F.when(key % 4 == 0, "<?xml version='1.0'?><!-- > --><m:r a='>' xmlns:m = 'urn:m'/>").when(key % 4 == 1, "<q/>").when(key % 4 == 2, '<r xmlns="urn:x"/>').otherwise("<r/>")
+    rows = shred(table(spark, sf_dir, "nation").select(key, doc.alias("doc")), "doc", Record("r", PAIR.fields, "urn:m"), strict_root=True)
+    return rows.select(key.alias("key"), F.get("errors", F.lit(0)).value.alias("found"))
+
+
 # -- validation
 
 
@@ -206,6 +246,12 @@ def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validity(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderpriority"), Scalar(patterns=("[1-3]-[A-Z ]+",)))
 
 
+@query("SELECT o_orderkey AS key, FALSE AS valid FROM orders")
+def pattern_that_is_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that is no regular expression matches nothing, and fails nothing."""
+    return _validity(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderpriority"), Scalar(patterns=("[1-3",)))
+
+
 @query("SELECT p_partkey AS key, p_size >= 10 AND p_size < 40 AS valid FROM part")
 def bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validity(table(spark, sf_dir, "part"), "p_partkey", F.col("p_size"), Scalar("int", min_inclusive="10", max_exclusive="40"))
@@ -259,6 +305,20 @@ def gregorian_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred(docs, "doc", record).select(key.alias("key"), F.col("record.d").isNotNull().alias("day_valid"), F.col("record.m").isNotNull().alias("month_valid"))
 
 
+@query(
+    """SELECT o_orderkey AS key, o_orderkey % 3 <> 0 AS year_valid, o_orderkey % 14 BETWEEN 1 AND 12 AS year_month_valid,
+    try_cast('2000-' || lpad(CAST(o_orderkey % 13 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS month_day_valid FROM orders"""
+)
+def gregorian_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years, months of years and days of months; 29 February is a day without a year."""
+    key, two = F.col("o_orderkey"), lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0")
+    record = Builder("r").element("y", Scalar("gYear")).element("ym", Scalar("gYearMonth")).element("md", Scalar("gMonthDay")).build()
+    year = F.when(key % 3 == 0, F.lit("012345")).when(key % 3 == 1, F.lit("-0044Z")).otherwise(F.lit("12024"))
+    inside = [element("y", year), element("ym", F.concat(F.lit("1999-"), two(14), F.lit("+14:00"))), element("md", F.concat(F.lit("--"), two(13), F.lit("-"), two(33)))]
+    rows = shred(table(spark, sf_dir, "orders").select(key, F.concat(F.lit("<r>"), *inside, F.lit("</r>")).alias("doc")), "doc", record)
+    return rows.select(key.alias("key"), F.col("record.y").isNotNull().alias("year_valid"), F.col("record.ym").isNotNull().alias("year_month_valid"), F.col("record.md").isNotNull().alias("month_day_valid"))
+
+
 @query("SELECT c_custkey AS key, c_name AS hex_text, c_name AS base64_text FROM customer")
 def binary_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = Builder("r").element("h", Scalar("hexBinary")).element("b", Scalar("base64Binary")).build()
@@ -329,13 +389,18 @@ def any_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.read_nodes(docs, "s_suppkey", "doc").select(F.col("s_suppkey").alias("key"), kept["q:name"].alias("name"), kept["other"].alias("other"))
 
 
-@query("SELECT p_partkey AS key, p_partkey % 4 IN (0, 1, 3) AS valid FROM part")
+@query("SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 2 THEN 'a;b;' ELSE 'a;c;' END AS tokens FROM part WHERE p_partkey % 4 >= 2")
 def content_model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a | b), then any number of (c, d)."""
+    """(a | b), then any number of (c, d), as compiled from a schema."""
+    from xylem.xsd.compile import compile_text
+
+    leaf = lambda name: f'<xs:element name="{name}"/>'
+    model = f'<xs:sequence><xs:choice>{leaf("a")}{leaf("b")}</xs:choice><xs:sequence minOccurs="0" maxOccurs="unbounded">{leaf("c")}{leaf("d")}</xs:sequence></xs:sequence>'
+    record = compile_text(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType>{model}</xs:complexType></xs:element></xs:schema>').record("r")
     key = F.col("p_partkey")
-    inside = F.when(key % 4 == 0, "<a/>").when(key % 4 == 1, "<b/><c/><d/><c/><d/>").when(key % 4 == 2, "<a/><b/>").otherwise("<a/><c/><d/>")
-    tokens = N.child_tokens(N.read_nodes(table(spark, sf_dir, "part").select(key, F.concat(F.lit("<r>"), inside, F.lit("</r>")).alias("doc")), "p_partkey", "doc"), "p_partkey")
-    return tokens.filter("parent = 0").select(key.alias("key"), S.matches(F.col("tokens"), "(?:a;|b;)(?:c;d;)*").alias("valid"))
+    inside = F.when(key % 4 == 0, "<a/>").when(key % 4 == 1, "<b/><c/><d/><c/><d/>").when(key % 4 == 2, "<a/><b/>").otherwise("<a/><c/>")
+    nodes = N.read_nodes(table(spark, sf_dir, "part").select(key, F.concat(F.lit("<r>"), inside, F.lit("</r>")).alias("doc")), "p_partkey", "doc")
+    return N.content_violations(nodes, "p_partkey", record).select(key.alias("key"), "tokens")
 
 
 @query("SELECT n_nationkey AS key, CASE n_nationkey % 3 WHEN 0 THEN 'urn:outer' WHEN 1 THEN 'urn:inner' END AS uri FROM nation")
@@ -355,9 +420,10 @@ def unsafe_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.read_nodes(docs, "n_nationkey", "doc").filter("node = 0").select(key.alias("key"), (F.col("kind") == "error").alias("refused"))
 
 
-@query()
+@query("SELECT 'error' AS kind, CAST(count(*) AS BIGINT) AS n_pages FROM pages WHERE html ILIKE '%<!DOCTYPE%' HAVING count(*) > 0")
 def html_is_not_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.read_nodes(table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "(?i)^<!DOCTYPE[^>]*>", "").alias("doc")), "page_id", "doc")
+    """Web pages have document types, which the reader refuses."""
+    rows = N.read_nodes(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("doc")), "page_id", "doc", columns=["node", "kind"])
     return rows.filter("node = 0").groupBy("kind").agg(F.count("*").alias("n_pages"))
 
 
@@ -392,11 +458,12 @@ def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- transcoding
 
 
-@query("SELECT p_partkey AS key, p_name AS name, CAST(p_size AS BIGINT) AS size FROM part")
+@query("""SELECT '{"key":' || p_partkey || ',"name":"' || p_name || '","brand":"' || p_brand || '","type":"' || p_type || '","size":' || CAST(p_size AS BIGINT) || '}' AS json FROM part""")
 def xml_to_json_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").cast("bigint").alias("size"), F.col("p_retailprice").alias("price"))
-    docs = table(spark, sf_dir, "part").select(publish(PART, value).alias("doc"))
-    return transcode.xml_to_json(docs, "doc", PART).select(F.get_json_object("json", "$.key").cast("bigint").alias("key"), F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.size").cast("bigint").alias("size"))
+    record = PART.only("key", "name", "brand", "kind", "size")
+    inside = [element("n:key", F.col("p_partkey")), element("n:name", F.col("p_name")), element("brand", F.col("p_brand")), element("n:type", F.col("p_type")), element("n:size", F.col("p_size").cast("bigint"))]
+    docs = table(spark, sf_dir, "part").select(F.concat(F.lit('<n:part xmlns:n="urn:parts">'), *inside, F.lit("<more>1</more></n:part>")).alias("doc"))
+    return transcode.xml_to_json(docs, "doc", record).select("json")
 
 
 @query("SELECT '<part><key>' || p_partkey || '</key><name>' || p_name || '</name><brand>' || p_brand || '</brand></part>' AS doc FROM part")
@@ -407,17 +474,17 @@ def json_to_xml_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, '{"e":{"@id":' || event_id || ',"t":["' || event_type || '","x"],"u":' || user_id || ',"none":null,"flag":true}}' AS json FROM events"""
+    """SELECT event_id, '{"e":{"@id":' || event_id || ',"t":["' || event_type || '","x"],"u":' || user_id || ',"none":[null,""],"flag":true}}' AS json FROM events"""
 )
 def xml_to_json_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.concat(F.lit('<p:e xmlns:p="urn:p" id="'), F.col("event_id").cast("string"), F.lit('">'), element("t", F.col("event_type")), element("u", F.col("user_id")), F.lit("<none/><t>x</t><flag>true</flag></p:e>"))
+    doc = F.concat(F.lit('<p:e xmlns:p="urn:p" id="'), F.col("event_id").cast("string"), F.lit('">'), element("t", F.col("event_type")), element("u", F.col("user_id")), F.lit("<none/><t>x</t><none ></none><flag>true</flag></p:e>"))
     return transcode.xml_to_json_dynamic(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "doc").select("event_id", "json")
 
 
-@query("""SELECT event_id, '<e id="' || event_id || '"><k>' || CAST(props->>'$.k' AS VARCHAR) || '</k><t>' || event_type || '</t><t>1</t></e>' AS xml FROM events WHERE props->>'$.k' IS NOT NULL""")
+@query("""SELECT event_id, '<e id="' || event_id || '">' || coalesce('<k>' || CAST(props->>'$.k' AS VARCHAR) || '</k>', '<k/>') || '<t>' || event_type || '</t><t>1</t></e>' AS xml FROM events""")
 def json_to_xml_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter(F.get_json_object("props", "$.k").isNotNull())
-    doc = F.concat(F.lit('{"e":{"@id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit(',"t":["'), "event_type", F.lit('",1]}}'))
+    events = table(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"e":{"@id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit(',"t":["'), "event_type", F.lit('",1]}}'))
     return transcode.json_to_xml_dynamic(events.select("event_id", doc.alias("doc")), "doc").select("event_id", "xml")
 
 
@@ -489,40 +556,87 @@ def chunk_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey AS id, max(o_orderstatus) AS status, strftime(max(o_orderdate), '%Y-%m-%d') AS placed, CAST(count(*) AS BIGINT) AS n_items,
-    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-    SELECT id, status, placed, n_items, quantity, CAST(n_items AS INTEGER) AS n_errors FROM o"""
+    """SELECT o_orderkey AS id, o_orderstatus AS phase, strftime(o_orderdate, '%Y-%m-%d') AS begun, CAST(count(*) AS BIGINT) AS n_legs,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS miles, CAST(sum(CAST(l_linenumber AS BIGINT)) AS DOUBLE) AS load, CAST(count(*) AS INTEGER) AS n_errors
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"""
 )
 def xsd_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a compiled schema: union, pattern, enumeration, simple content, lists. Each item's sku breaks its pattern."""
+    """Documents of a compiled schema: union, pattern, enumeration, list, and simple content five levels down. Each berth breaks its
+    pattern."""
     from xylem.xsd.compile import compile_text
-    from xylem.xsd.fixtures import ORDERS
-
-    record = compile_text(ORDERS).record("Order")
-    item = F.concat(F.lit('<Item sku="'), F.col("l_partkey").cast("string"), F.lit('"><Quantity>'), F.col("l_quantity").cast("bigint").cast("string"), F.lit('</Quantity><Price currency="EUR">1.5</Price><Sizes>1 2</Sizes></Item>'))
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("item"), "").alias("items"))
-    head = F.concat(F.lit('<o:Order xmlns:o="urn:orders" id="'), F.col("o_orderkey").cast("string"), F.lit('" status="'), "o_orderstatus", F.lit('">'), element("o:Placed", F.date_format("o_orderdate", "yyyy-MM-dd")))
-    docs = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(head, F.lit('<Buyer partyId="1"><Name>n</Name></Buyer>'), "items", F.lit("<Cash>true</Cash></o:Order>")).alias("doc"))
+    from xylem.xsd.fixtures import VOYAGES
+
+    record = compile_text(VOYAGES).record("Voyage")
+    load = F.concat(F.lit('</Miles><Hold deck="1"><Load unit="kg">'), F.col("l_linenumber").cast("string"), F.lit("</Load></Hold><Draughts>1 2.5</Draughts></Leg>"))
+    leg = F.concat(F.lit('<Leg berth="'), F.col("l_partkey").cast("string"), F.lit('"><Miles>'), F.col("l_quantity").cast("bigint").cast("string"), load)
+    legs = table(spark, sf_dir, "lineitem").select("l_orderkey", leg.alias("leg")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("leg"), "").alias("legs"))
+    head = F.concat(F.lit('<v:Voyage xmlns:v="urn:voyages" number="'), F.col("o_orderkey").cast("string"), F.lit('" phase="'), "o_orderstatus", F.lit('">'), element("v:Begun", F.date_format("o_orderdate", "yyyy-MM-dd")))
+    docs = table(spark, sf_dir, "orders").join(legs, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(head, F.lit("<Route>"), "legs", F.lit('</Route><Ship hull="9"/><Sail>true</Sail></v:Voyage>')).alias("doc"))
     rows = shred(docs, "doc", record)
-    quantity = F.aggregate("record.Item", F.lit(0).cast("bigint"), lambda a, i: a + i.Quantity)
-    return rows.select("record.id", "record.status", F.col("record.Placed").alias("placed"), F.size("record.Item").cast("bigint").alias("n_items"), quantity.alias("quantity"), F.size("errors").alias("n_errors"))
+    total = lambda of, start: F.aggregate("record.Route.Leg", start, of)
+    return rows.select(
+        F.col("record.number").alias("id"),
+        "record.phase",
+        F.col("record.Begun").alias("begun"),
+        F.size("record.Route.Leg").cast("bigint").alias("n_legs"),
+        total(lambda a, leg: a + leg.Miles, F.lit(0).cast("bigint")).alias("miles"),
+        total(lambda a, leg: a + leg.Hold.Load[0].value, F.lit(0.0)).alias("load"),
+        F.size("errors").alias("n_errors"),
+    )
+
+
+_DEEP = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r">' + "".join(f'<xs:complexType><xs:sequence><xs:element name="l{i}"' + (">" if i < 7 else ' type="xs:string"/>') for i in range(1, 8)) + "</xs:sequence></xs:complexType></xs:element>" * 7 + "</xs:schema>"
+
+
+@query("SELECT c_custkey AS key, c_name AS value FROM customer")
+def deep_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compiled schema of seven nested elements, none of which recurs."""
+    from xylem.xsd.compile import compile_text
 
+    tags = [f"l{i}" for i in range(1, 8)]
+    doc = F.concat(F.lit("<r>" + "".join(f"<{t}>" for t in tags[:-1])), element("l7", F.col("c_name")), F.lit("".join(f"</{t}>" for t in tags[-2::-1]) + "</r>"))
+    rows = shred(table(spark, sf_dir, "customer").select("c_custkey", doc.alias("doc")), "doc", compile_text(_DEEP).record("r"))
+    return rows.filter("size(errors) = 0").select(F.col("c_custkey").alias("key"), F.col("record." + ".".join(tags)).alias("value"))
 
-@query("SELECT * FROM (VALUES ('head', 'one'), ('head', 'two'), ('one', 'two'), ('head', 'three')) t(head, member)")
+
+@query("SELECT CAST(i AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n FROM customer, (VALUES (1), (2), (3)) t(i) WHERE c_custkey % 3 + 1 >= i GROUP BY 1")
+def recursive_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type below itself, to three levels; documents have one to three."""
+    from xylem.xsd.compile import compile_text
+
+    schema = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="N"><xs:sequence><xs:element name="kid" type="N" minOccurs="0"/></xs:sequence><xs:attribute name="id" type="xs:int"/></xs:complexType><xs:element name="r" type="N"/></xs:schema>'
+    key = F.col("c_custkey")
+    doc = F.when(key % 3 == 0, '<r id="1"/>').when(key % 3 == 1, '<r id="1"><kid id="2"/></r>').otherwise('<r id="1"><kid id="2"><kid id="3"/></kid></r>')
+    rows = shred(table(spark, sf_dir, "customer").select(doc.alias("doc")), "doc", compile_text(schema).record("r", depth=3))
+    levels = F.array_compact(F.array("record.id", "record.kid.id", "record.kid.kid.id"))
+    return rows.select(F.explode(F.transform(levels, lambda n: n.cast("int"))).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT r_name AS head, n_name AS member FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name <> r_name
+    UNION SELECT 'world', r_name FROM region), c AS (SELECT head, member FROM e UNION SELECT c.head, e.member FROM c JOIN e ON c.member = e.head) SELECT head, member FROM c"""
+)
 def substitution_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who may stand for whom, in a schema made of the tables: nations for their region, and regions for the world."""
     from xylem.xsd.compile import compile_text
 
-    schema = compile_text(
-        '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="head"/><xs:element name="one" substitutionGroup="head"/>'
-        '<xs:element name="two" substitutionGroup="one"/><xs:element name="three" substitutionGroup="head"/></xs:schema>'
-    )
+    regions = {r.r_regionkey: r.r_name for r in table(spark, sf_dir, "region").collect()}
+    pairs = [(regions[r.n_regionkey], r.n_name) for r in table(spark, sf_dir, "nation").collect()] + [("world", r) for r in regions.values()]
+    named = lambda n: n.replace(" ", "-")
+    body = "".join(f'<xs:element name="{named(member)}" substitutionGroup="{named(head)}"/>' for head, member in pairs)
+    schema = compile_text(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="world"/>{body}</xs:schema>')
     edges = [(node.get("substitutionGroup"), node.get("name")) for node, _ in schema.elements.values() if node.get("substitutionGroup")]
-    return graph.closure(spark.createDataFrame(edges, "src string, dst string")).select(F.col("src").alias("head"), F.col("dst").alias("member"))
+    found = graph.closure(spark.createDataFrame(edges, "src string, dst string"))
+    return found.select(F.replace("src", F.lit("-"), F.lit(" ")).alias("head"), F.replace("dst", F.lit("-"), F.lit(" ")).alias("member"))
 
 
-@query()
+@query("SELECT 'simple' AS kind, CAST(count(*) AS BIGINT) AS n FROM region UNION ALL SELECT 'complex', CAST(count(*) AS BIGINT) FROM nation UNION ALL SELECT 'simple content', 1")
 def schema_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema with a simple type for each region, a complex type for each nation and one type with simple content."""
     from xylem.xsd.compile import compile_text
-    from xylem.xsd.fixtures import ORDERS
 
-    return graph.catalog(spark, compile_text(ORDERS))["types"].groupBy("kind").agg(F.count("*").alias("n"))
+    simple = "".join(f'<xs:simpleType name="R{r.r_regionkey}"><xs:restriction base="xs:token"><xs:maxLength value="{len(r.r_name)}"/></xs:restriction></xs:simpleType>' for r in table(spark, sf_dir, "region").collect())
+    types = "".join(f'<xs:complexType name="N{r.n_nationkey}"><xs:sequence><xs:element name="part" type="R{r.n_regionkey}"/></xs:sequence></xs:complexType>' for r in table(spark, sf_dir, "nation").collect())
+    content = '<xs:complexType name="S"><xs:simpleContent><xs:extension base="xs:int"/></xs:simpleContent></xs:complexType>'
+    schema = compile_text(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">{simple}{types}{content}</xs:schema>')
+    return graph.catalog(spark, schema)["types"].groupBy("kind").agg(F.count("*").alias("n"))

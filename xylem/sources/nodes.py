@@ -6,52 +6,95 @@ Documents with a DTD, an unknown entity or more levels than allowed, and those t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 DEPTH = 256
 #: node: number in document order. last: greatest number below the node. place: among its parent's nodes. kind: element, text or
-#: error. text: of a text node or an error, else the element's own text. type: xsi:type, with its prefix resolved.
-NODE = "node int, parent int, last int, depth int, place int, kind string, uri string, name string, qname string, text string, empty boolean, nil boolean, type string, attributes map<string,string>"
-_NAMES = [c.split()[0] for c in NODE.split(", ")]
-
-
-class _Reader:
-    """Rows of one document."""
-
-    def __init__(self, limit: int):
-        self.limit, self.rows, self.open, self.done = limit, [], [], False
+#: error. text: of a text node or an error, else the element's own text. closed: written as one tag. type: xsi:type, with its prefix
+#: resolved.
+NODE = "node int, parent int, last int, depth int, place int, kind string, uri string, name string, qname string, text string, empty boolean, closed boolean, nil boolean, type string, attributes map<string,string>"
+NAMES = [c.split()[0] for c in NODE.split(", ")]
+_KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split(" ", 1)[1]]) for c in NODE.split(", ")])
+#: Nodes of a batch of rows.
+BATCH = 10_000
+
+
+class Reader:
+    """Nodes of documents, as one list for each column."""
+
+    def __init__(self, limit: int = DEPTH):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: dict[str, list] = {name: [] for name in NAMES}
+
+    def __len__(self) -> int:
+        return len(self.columns["node"])
+
+    def read(self, xml: str | bytes) -> int:
+        """Adds a document's nodes and says how many they are."""
+        self.data = xml if isinstance(xml, bytes) else xml.encode()
+        self.first, self.done = len(self), False
+        self.open: list[int] = []  # rows of open elements
+        self.places: list[int] = [0]
         self.scopes: list[dict[str, str]] = [{"xml": "http://www.w3.org/XML/1998/namespace"}]
-        self.parser = expat.ParserCreate()
-        self.parser.buffer_text = True
-        self.parser.ordered_attributes = True
-        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self.start, self.end, self.text
-        self.parser.StartDoctypeDeclHandler = self.refuse
+        parser = self.parser = expat.ParserCreate(None if isinstance(xml, bytes) else "utf-8")
+        parser.buffer_text = True
+        parser.ordered_attributes = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.text
+        parser.StartDoctypeDeclHandler = self.refuse
+        try:
+            parser.Parse(self.data, True)
+        except (expat.ExpatError, ValueError) as e:
+            if not self.done:  # what follows the root is not looked at
+                for column in self.columns.values():
+                    del column[self.first :]
+                self.add(None, None, 0, None, "error", None, None, None, str(e), None, None, None, None, [])
+        return len(self) - self.first
 
     def refuse(self, *_):
         raise ValueError("document type declarations are not read")
 
+    def add(self, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes) -> None:
+        values = (len(self) - self.first, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes)
+        for column, value in zip(self.columns.values(), values, strict=True):
+            column.append(value)
+
     def resolved(self, name: str, attribute: bool = False) -> tuple[str | None, str]:
         prefix, _, local = name.rpartition(":")
         if not prefix:
             return (None if attribute else self.scopes[-1].get("")), local
         return self.scopes[-1].get(prefix), local
 
+    def below(self) -> tuple[int | None, int]:
+        """Parent and place of a node that begins here."""
+        place = self.places[-1]
+        self.places[-1] += 1
+        if not self.open:
+            return None, place
+        self.columns["empty"][self.open[-1]] = False
+        return self.open[-1] - self.first, place
+
     def start(self, name: str, flat: list[str]) -> None:
         if self.done:
             return
         if len(self.open) >= self.limit:
             raise ValueError(f"more than {self.limit} levels")
-        pairs = list(zip(flat[::2], flat[1::2], strict=True))
-        own = {k[6:] if k != "xmlns" else "": v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}
-        self.scopes.append({**self.scopes[-1], **own} if own else self.scopes[-1])
-        uri, local = self.resolved(name)
-        nil, kind = False, None
+        nil, kind, pairs, scope = False, None, [], self.scopes[-1]
+        if flat:
+            pairs = list(zip(flat[::2], flat[1::2], strict=True))
+            own = {k[6:] if k != "xmlns" else "": v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}
+            if own:
+                scope, pairs = {**scope, **own}, [(k, v) for k, v in pairs if k != "xmlns" and not k.startswith("xmlns:")]
+        self.scopes.append(scope)
         for k, v in pairs:
             at = k.rpartition(":")[2]
             if at == "nil" and v.strip() in ("true", "1"):
@@ -59,59 +102,55 @@ class _Reader:
             if at == "type" and self.resolved(k, attribute=True)[0] == XSI:
                 to, what = self.resolved(v.strip())
                 kind = f"{{{to}}}{what}" if to else what
-        parent = self.open[-1] if self.open else None
-        place = parent["places"] if parent else 0
-        if parent:
-            parent["places"] += 1
-        row = {"node": len(self.rows), "parent": parent["node"] if parent else None, "last": None, "depth": len(self.open), "place": place, "kind": "element", "uri": uri, "name": local, "qname": name, "text": "", "empty": True, "nil": nil, "type": kind}
-        row["attributes"] = [(k, v) for k, v in pairs if k != "xmlns" and not k.startswith("xmlns:")]
-        row["places"] = 0
-        if parent:
-            parent["empty"] = False
-        self.rows.append(row)
-        self.open.append(row)
+        uri, local = self.resolved(name)
+        depth, (parent, place) = len(self.open), self.below()
+        self.open.append(len(self))
+        self.places.append(0)
+        self.add(parent, None, depth, place, "element", uri, local, name, "", True, False, nil, kind, pairs)
 
     def end(self, name: str) -> None:
         if self.open:
-            self.open.pop()["last"] = len(self.rows) - 1
+            at = self.open.pop()
+            self.columns["last"][at] = len(self) - 1 - self.first
+            if self.columns["empty"][at]:
+                byte = self.parser.CurrentByteIndex
+                self.columns["closed"][at] = self.data[byte - 2 : byte] == b"/>"
+            self.places.pop()
             self.scopes.pop()
             self.done = not self.open
 
     def text(self, data: str) -> None:
         if self.open:
-            parent = self.open[-1]
-            parent["text"] += data
-            parent["empty"] = False
-            number = len(self.rows)
-            row = dict.fromkeys([*_NAMES, "places"]) | {"node": number, "parent": parent["node"], "last": number, "depth": len(self.open), "place": parent["places"], "kind": "text", "text": data, "attributes": []}
-            parent["places"] += 1
-            self.rows.append(row)
+            self.columns["text"][self.open[-1]] += data
+            depth, (parent, place) = len(self.open), self.below()
+            self.add(parent, len(self) - self.first, depth, place, "text", None, None, None, data, None, None, None, None, [])
 
 
-def nodes_of(xml: str | bytes, limit: int = DEPTH) -> list[dict]:
-    reader = _Reader(limit)
-    try:
-        reader.parser.Parse(xml, True)
-    except (expat.ExpatError, ValueError) as e:
-        if not reader.done:  # what follows the root is not looked at
-            return [dict.fromkeys(_NAMES) | {"node": 0, "kind": "error", "text": str(e), "attributes": []}]
-    return reader.rows
+def read_nodes(df: DataFrame, key: str, xml: str, limit: int = DEPTH, columns: Sequence[str] = NAMES) -> DataFrame:
+    """key and NODE, or some of its columns, for each node of each document; null documents have no nodes."""
+    kinds = dict(c.split(" ", 1) for c in NODE.split(", "))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(limit)
+        schema = pa.schema([SCHEMA.field(c) for c in columns])
 
-def read_nodes(df: DataFrame, key: str, xml: str, limit: int = DEPTH) -> DataFrame:
-    """key and NODE for each node of each document; null documents have no nodes."""
-    kind = df.schema[key].dataType
+        def out(keys: list, of: pa.Array) -> pa.RecordBatch:
+            made = [of.take(pa.array(keys, pa.int32())), *(pa.array(reader.columns[c], schema.field(c).type) for c in columns)]
+            reader.clear()
+            return pa.RecordBatch.from_arrays(made, [key, *columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("place", pa.int32()), *((n, pa.string()) for n in ("kind", "uri", "name", "qname", "text")), ("empty", pa.bool_()), ("nil", pa.bool_()), ("type", pa.string()), ("attributes", pa.map_(pa.string(), pa.string()))])
         for batch in batches:
-            for name, xml in zip(batch.column(0), batch.column(1), strict=True):
+            keys: list[int] = []
+            for i, xml in enumerate(batch.column(1)):
                 if xml.is_valid:
-                    rows = nodes_of(xml.as_py(), limit)
-                    table = pa.RecordBatch.from_pylist([{n: r[n] for n in _NAMES} for r in rows], schema)
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), batch.schema.field(0).type), *table.columns], [key, *_NAMES])
+                    keys += [i] * reader.read(xml.as_py())
+                    if len(keys) >= BATCH:
+                        yield out(keys, batch.column(0))
+                        keys = []
+            if keys:
+                yield out(keys, batch.column(0))
 
-    return df.select(key, xml).mapInArrow(run, f"`{key}` {kind.simpleString()}, {NODE}")
+    return df.select(key, xml).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def errors(nodes: DataFrame, key: str) -> DataFrame:
@@ -122,12 +161,16 @@ def subtrees(nodes: DataFrame, key: str, tag: str) -> DataFrame:
     """The nodes of each record of a tag (local, or prefixed as written), with record, the number of its first node.
 
     A record is taken whole, so one inside another of the same tag is not a record of its own. Namespaces were resolved against
-    all ancestors, those outside of the record too.
+    all ancestors, those outside of the record too. One pass over each document's nodes in their order: the greatest end of a
+    record so far tells whether a node is in it.
     """
-    named = F.col("qname") == tag if ":" in tag else F.col("name") == tag
-    tops = nodes.filter((F.col("kind") == "element") & named).select(key, F.col("node").alias("record"), F.col("last").alias("record_last"))
-    outer = tops.alias("t").join(tops.alias("o"), (F.col(f"t.{key}") == F.col(f"o.{key}")) & (F.col("o.record") < F.col("t.record")) & (F.col("t.record") <= F.col("o.record_last")), "left_anti")
-    return nodes.join(outer, key).filter(F.col("node").between(F.col("record"), F.col("record_last"))).drop("record_last")
+    named = (F.col("kind") == "element") & (F.col("qname") == tag if ":" in tag else F.col("name") == tag)
+    so_far = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    outer = named & (F.coalesce(F.max(F.when(named, F.col("last"))).over(before), F.lit(-1)) < F.col("node"))
+    found = nodes.withColumn("__outer", outer)
+    found = found.withColumns({"record": F.max(F.when(F.col("__outer"), F.col("node"))).over(so_far), "__end": F.max(F.when(F.col("__outer"), F.col("last"))).over(so_far)})
+    return found.filter(F.col("node") <= F.col("__end")).drop("__outer", "__end")
 
 
 def child_tokens(nodes: DataFrame, key: str) -> DataFrame:
