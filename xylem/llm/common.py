@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -34,24 +36,39 @@ class Staging:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.dealt: dict[str, str] = {}
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> Staging:
         """Tables under a given folder."""
         made = cls.__new__(cls)
-        made.spark, made.root = spark, root.rstrip("/")
+        made.spark, made.root, made.dealt = spark, root.rstrip("/"), {}
         return made
 
     def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         """df as a table that was written and is read again. batch_rows: how many rows reach Python at once, where rows are long."""
+        with self._batches(batch_rows):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.read(name, df)
+
+    def deal(self, df: DataFrame, name: str, key: str, batch_rows: int | None = None) -> DataFrame:
+        """The same, dealt to buckets by a key, so that joins and groups by it do not shuffle the table again. A df that is
+        partitioned by the key already is not shuffled for it."""
+        buckets, self.dealt[name] = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"xylem_{uuid.uuid4().hex[:16]}"
+        with self._batches(batch_rows):
+            writer = df.write.format("parquet").option("path", f"{self.root}/{name}").option("compression", "zstd")
+            writer.bucketBy(buckets, key).sortBy(key).saveAsTable(self.dealt[name])
+        return self.spark.table(self.dealt[name])
+
+    @contextmanager
+    def _batches(self, rows: int | None) -> Iterator[None]:
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         try:
-            self.spark.conf.set(key, batch_rows or before)
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+            self.spark.conf.set(key, rows or before)
+            yield
         finally:
             self.spark.conf.set(key, before)
-        return self.read(name, df)
 
     def append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(f"{self.root}/{name}")
@@ -70,11 +87,15 @@ class Staging:
 
     def drop(self, name: str) -> None:
         """Removes a table that no later step reads."""
+        if name in self.dealt:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.dealt.pop(name)}")
         path, system = self._path(name)
         system.delete(path, True)
 
     def close(self) -> None:
         """Removes all tables."""
+        for name in list(self.dealt):
+            self.drop(name)
         self.drop("")
 
 

@@ -367,6 +367,7 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     """A table of doc_id, digest (of the text), n and component (a node; null without shingles) of every row. All other tables that
     led to it are gone."""
     spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     staging = Staging(spark, "ngram-join")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("digest"))
     for seed in range(5, 1 << 30, 2):
@@ -384,12 +385,11 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     blocks = max(1, math.ceil(total * (100 - join.percent) / 100 / join.block_entries))
     columns = staging.save(_columns(_entries(narrow, counters, join, blocks, limit, more, seed), join, blocks), "columns", batch_rows=2000)
     counters.destroy()
-    several = _exploded(columns)
-    shared = several.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
-    apart = staging.save(several.join(shared, "gram").withColumn("component", F.col("node")).select(*_APART), "apart-0")
+    apart = staging.deal(_exploded(columns).withColumn("component", F.col("node")).select(*_APART).repartition(partitions, "gram"), "apart-0", "gram")
     staging.drop("columns")
 
-    wanted = staging.save(members.join(apart.select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest")), "wanted")
+    several = apart.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
+    wanted = staging.save(members.join(apart.join(several, "gram").select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest")), "wanted")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,8 +398,9 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["node", "row", "signature"])
 
     some, _ = parted(narrow, F.col("digest"), wanted.select("digest"))
-    once = some.join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
-    rows = staging.save(once.mapInArrow(own, "node long, row binary, signature binary"), "rows", batch_rows=1000)
+    once = some.join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text")
+    made = once.mapInArrow(own, "node long, row binary, signature binary").repartition(partitions, "node")
+    rows = staging.deal(made, "rows", "node", batch_rows=1000)  # read in each turn, so dealt out by node once and for all
 
     links, turn, more_turns = None, 0, True
     while True:
@@ -415,7 +416,7 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
         if last:
             break
         turn += 1
-        apart = staging.save(_apart(apart.drop("component"), groups), f"apart-{turn}")
+        apart = staging.deal(_apart(apart.drop("component"), groups), f"apart-{turn}", "gram")
         staging.drop(f"apart-{turn - 1}")
     out = members.join(groups.withColumnRenamed("component", "of"), "node", "left").select("doc_id", "digest", "n", F.coalesce("of", "node").alias("component"))
     out = Staging(spark, "near-copies").save(out, "rows")
