@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter as Multiset
 from collections import defaultdict
@@ -93,14 +94,54 @@ def test_shards_are_even_and_gapless(spark, tmp_path):
     assert sharding.shard(cases.empty(spark)).count() == 0
 
 
+def test_many_equal_rows_share_no_bucket(spark):
+    docs = spark.createDataFrame([(1, "same", "x")] * 60 + [(1, "same", "y")] * 40 + [(i, f"t{i}", "z") for i in range(30)], "doc_id long, text string, lang string").repartition(3)
+    got = sharding.shard(docs, shards=5, bucket_bytes=200, hot_rows=50).collect()
+    assert Multiset((r.doc_id, r.lang) for r in got) == Multiset((r.doc_id, r.lang) for r in docs.collect())
+    assert sorted(Multiset(r.shard for r in got).values()) == [26] * 5 and len({(r.shard, r.slot) for r in got}) == 130
+    assert len({r.shard for r in got if r.text == "same"}) == 5
+
+
 def test_fisher_yates_is_uniform():
     seen = Multiset(tuple(sharding.fisher_yates(3, seed)) for seed in range(3000))
     assert len(seen) == 6 and all(400 < n < 600 for n in seen.values())
 
 
-def test_crc_of_pieces(spark):
-    row = queries.op3_packing(spark, "/root/testdata/sf0.001").filter("start = 0").first()
-    assert 0 <= row.ids_crc32 < 1 << 32 and zlib.crc32(b"") == 0
+def test_rows_of_the_packing_query(spark):
+    """All pieces of the smallest table against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary_file("word_bpe_49k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    ids = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs}
+    pieces = queries.op3_packing(spark, "/root/testdata/sf0.001").collect()
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+    assert sum(r.length for r in pieces) == sum(map(len, ids.values()))
+
+
+def test_rows_of_the_count_query(spark):
+    """All rows of the smallest table against a unigram tokenizer over the query's vocabulary."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = token_counts.read_vocabulary(queries.vocabulary_file("piece_bpe_32k.model"))
+    tokenizer = Tokenizer(models.Unigram([("<unk>", min(s for _, s in vocabulary)), *vocabulary], 0, False))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op1_token_counts(spark, "/root/testdata/sf0.001").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")
+        assert (r.n_words, r.n_tokens) == (len(words), sum(len(tokenizer.encode(token_counts.MARK + w, add_special_tokens=False).ids) for w in words))
+
+
+def test_unigram_vocabulary_files(spark, tmp_path):
+    """A vocabulary with scores of its own, as tokenizers store it."""
+    from tokenizers import Tokenizer, models
+
+    pieces = [("<unk>", -20.0), ("▁", -3.0), ("▁a", -2.0), ("a", -2.5), ("b", -2.7), ("ab", -4.1), ("▁ab", -5.0), ("bab", -6.5), ("aa", -4.4)]
+    tokenizer = Tokenizer(models.Unigram(pieces, 0, False))
+    tokenizer.save(str(tmp_path / "unigram.json"))
+    docs = spark.createDataFrame([(0, "ab aab babab"), (1, "zz abz"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, str(tmp_path / "unigram.json")).collect()}
+    assert got == {r.doc_id: sum(len(tokenizer.encode("▁" + w, add_special_tokens=False).ids) for w in (r.text or "").split()) for r in docs.collect()}
 
 
 def test_special_tokens_by_the_librarys_default(spark, tmp_path):

@@ -32,6 +32,37 @@ def test_tree_matching_aligns_children():
     assert size == 4 and [(x.tag, y.tag) for x, y in pairs] == [("#root", "#root"), ("div", "div"), ("p", "p"), ("p", "p")]
 
 
+def test_wide_trees_are_matched_exactly():
+    """Against the plain recursion, and wide ones against what they must give."""
+
+    def plain(a, b):
+        if a.tag != b.tag:
+            return 0
+        left, right = extraction.elements(a), extraction.elements(b)
+        score = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, u in enumerate(left):
+            for j, v in enumerate(right):
+                score[i + 1][j + 1] = max(score[i + 1][j], score[i][j + 1], score[i][j] + plain(u, v))
+        return 1 + score[-1][-1]
+
+    rng = np.random.default_rng(6)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choice(["div", "b", "i"], rng.integers(0, 5))) if depth else ""
+
+    for _ in range(30):
+        a, b = extraction.tree_of(tree(3)), extraction.tree_of(tree(3))
+        size, pairs = extraction.match(a, b)
+        assert size == plain(a, b) == len(pairs) and all(x.tag == y.tag for x, y in pairs)
+    rows = lambda n, shift: "<table>" + "".join(f"<tr><td>{i}</td>{'<td></td>' * ((i + shift) % 3)}</tr>" for i in range(n)) + "</table>"
+    size, pairs = extraction.match(extraction.tree_of(rows(3000, 0)), extraction.tree_of(rows(2999, 1)))
+    assert size == len(pairs) and sum(x.tag == "tr" for x, _ in pairs) == 2999
+    a, b = rng.integers(0, 4, 60).tolist(), rng.integers(0, 4, 50).tolist()
+    worth = lambda x, y: 1 + x if x == y else 0
+    total = lambda pairs: sum(worth(a[i], b[j]) for i, j in pairs)
+    assert total(extraction._halved(a, b, worth)) == total(extraction._tabled(a, b, worth))
+
+
 def test_names_need_confirming():
     article = "<div class='layout has-sidebar'><article><p>one two</p><section class='discussion'><p>three</p></section><div class='related-work'>four</div><p class='notice-period'>five</p></article></div>"
     assert extraction.extract_text(article) == "one two three four five"
@@ -161,12 +192,30 @@ def test_targets_at_the_bound_are_reached(spark):
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
     how = mixing.Mixing()
     steps, totals, wanted = mixing.descend(members, 3, lambda t: [t[0], 0.03 / 0.97 * t[0], 0.0], how)
-    inverse, rates = np.linalg.inv((p * n[:, None]).T @ p), np.ones(2000)
-    for _ in range(20000):
-        rates = np.clip(rates - p @ (inverse @ ((rates * n) @ p - wanted)), 0, how.most)
-    error = lambda t: (t - wanted) @ inverse @ (t - wanted)
+    best, error = nearest(n, p, wanted, 0.0, how.most)
     assert np.allclose((mixing.rates_of(p, steps, how, 0) * n) @ p, totals)
-    assert error(totals) <= 1.001 * error((rates * n) @ p) + 1e-8 * n.sum()
+    assert error(totals) <= 1.001 * error(best) + 1e-8 * n.sum()
+
+
+def nearest(n, p, wanted, low, most, rounds=5000):
+    """Least-squares totals by brute force, and the error that they minimize: accelerated projected gradient on all rates at once."""
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    rates = before = np.ones(len(n))
+    for k in range(rounds):
+        ahead = rates + k / (k + 3) * (rates - before)
+        before, rates = rates, np.clip(ahead - p @ (inverse @ ((ahead * n) @ p - wanted)), low, most)
+    return (rates * n) @ p, lambda t: (t - wanted) @ inverse @ (t - wanted)
+
+
+def test_rates_of_the_query_are_least_squares(spark):
+    """The registered query's rates against brute force over its own posteriors."""
+    got = queries.op10_mixing(spark, "/root/testdata/sf0.001").collect()
+    domains = sorted(mixing.WEIGHTS)
+    n, p, rates = np.array([r.n_tokens for r in got], float), np.array([[r[f"p_{d}"] for d in domains] for r in got]), np.array([r.rate for r in got])
+    wanted = np.array([mixing.WEIGHTS[d] / mixing.WEIGHTS["clean"] for d in domains]) * (n @ p)[domains.index("clean")]
+    best, error = nearest(n, p, wanted, 0.0, mixing.Mixing().most)
+    assert error((rates * n) @ p) <= 1.001 * error(best) + 1e-7 * n.sum()
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got) and len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
 
 
 def test_anchored_rates_never_fall(spark):

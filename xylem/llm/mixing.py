@@ -1,12 +1,15 @@
 """Mixing of documents to target weights of domains, by soft membership.
 
 A classifier of labelled rows gives every document a posterior over the domains. With n_i tokens and posterior p_i, document i at
-rate r_i adds r_i n_i p_i to the domains' expected token totals. The rates, between bounds, are those whose totals come closest to
-the targets in least squares, scaled by the inverse of the posteriors' second moments, and of those the closest to 1. They are
-found on the dual: one number per domain, its vector, sets all rates, as 1 less its product with the posterior, clipped. Newton
-steps over the documents not at a bound maximize the concave dual; a pass tries a step and its halves at once and brings back small
-sums, and a weight on the distance to rate 1 falls until it no longer counts. Tasks can be run again, as a rate follows from the
-posterior and the vector.
+rate r_i adds r_i n_i p_i to the domains' expected token totals. The rates, between bounds, are fitted by least squares of totals
+against targets, scaled by the inverse of the posteriors' second moments, and of all such rates the closest to 1 are taken.
+
+They are found by distributed projected gradient with lazy projection: the steps against the gradient add up to one vector with a
+number for each domain, and a document's rate is the projection onto its bounds of 1 less the product of posterior and vector. A
+step is the gradient (totals less targets) scaled by the inverse moments of the documents that no bound holds, Newton's scaling; a
+pass tries the step and its halves at once and brings back small sums, and a weight on the distance to rate 1 falls until it no
+longer counts. Plain projection after every step needs hundreds of passes where a target is 0 and many documents are at the bound.
+Rates are never stored, so tasks can be run again.
 
 The classifier is multinomial logistic regression on the presence of words, hashed into buckets, that tell the domains apart. It is
 fitted on a bounded sample of labelled rows, those with the least hashes; everything else covers all documents.
@@ -33,7 +36,7 @@ logger = logging.getLogger(__name__)
 class Mixing:
     """labelled_rows: bound of the sample that the classifier is fitted on. buckets: of the word hash. features: that are kept.
     z: from which a bucket tells domains apart. most: bound of the rates. anchored: lower bound of the rates of documents whose
-    likeliest domain is the anchor. steps: of Newton's method for each weight. tolerance: of totals and of the gradient, as a share of all tokens."""
+    likeliest domain is the anchor. steps: of the gradient for each weight. tolerance: of totals and of the gradient, as a share of all tokens."""
 
     labelled_rows: int = 6000
     buckets: int = 1 << 16

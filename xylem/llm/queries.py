@@ -23,6 +23,7 @@ def vocabulary_file(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces are those of a public model of merges and the scores are made from their ranks, as no unigram vocabulary is at hand."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 

@@ -22,29 +22,36 @@ LAW = "rows"
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
-    """A uniform permutation of range(n): each place from the last swaps with one at or before it."""
-    order, rng = np.arange(n), np.random.default_rng(seed)
-    picks = (rng.random(n) * np.arange(1, n + 1)).astype(np.int64)
-    order = order.tolist()
-    for i in range(n - 1, 0, -1):
-        j = picks[i]
-        order[i], order[j] = order[j], order[i]
-    return np.array(order, np.int64)
+    """A uniform permutation of range(n); numpy's is the shuffle of Fisher and Yates."""
+    return np.random.default_rng(seed).permutation(n)
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: int = 20, bucket_bytes: int = 64 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _spread(scattered: DataFrame, own: list[str], seed: int, hot_rows: int) -> DataFrame:
+    """The same rows; those of a mark with more than hot_rows rows get marks of their own. Rows equal in all columns are exchanged
+    for a count, which partial aggregates do, and the count for numbered copies, so a task that runs again marks them alike."""
+    hot = scattered.groupBy("__mark").agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).select("__mark")
+    if hot.isEmpty():
+        return scattered
+    of = scattered.join(hot, "__mark", "left_semi").groupBy(*own, "size").agg(F.count("*").alias("__n"))
+    copies = of.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    marked = copies.withColumn("__mark", F.xxhash64(F.lit(seed), *own, "__copy"))
+    return scattered.join(hot, "__mark", "left_anti").select(*own, "size", "__mark").unionAll(marked.select(*own, "size", "__mark"))
+
+
+def shard(docs: DataFrame, shards: int = 24, seed: int = 20, bucket_bytes: int = 64 << 20, hot_rows: int = 100_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every record with all its columns, its size (UTF-8 bytes of the text, null: none, plus 8), shard, slot (from 0 in the shard).
 
-    Records with one key but other texts, and copies of a text under other keys, scatter freely; only rows equal in both share a
-    bucket. Null keys and texts are hashed like other values. Columns of docs that are named size, shard or slot are replaced.
-    An empty input has no rows.
+    Records with one key but other texts, and copies of a text under other keys, scatter freely. Rows equal in both share a bucket,
+    unless they are more than hot_rows: then they are grouped by all columns, which must be of types that can be grouped, and
+    scatter too. Null keys and texts are hashed like other values. Columns of docs that are named size, shard or slot are replaced.
+    An empty input has no rows. A bucket, and so a very long text, is in the memory of a task as a whole.
     """
     own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     sized = docs.select(*own, (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     mark = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    scattered = sized.withColumns({"__mark": mark, "__bucket": F.pmod(mark, F.lit(buckets)).cast("int")})
+    scattered = _spread(sized.withColumn("__mark", mark), own, seed, hot_rows).withColumn("__bucket", F.pmod("__mark", F.lit(buckets)).cast("int"))
 
     counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

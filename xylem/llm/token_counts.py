@@ -12,6 +12,8 @@ narrow pass: no shuffle, and memory is the automaton plus a bounded cache of wor
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,12 +30,18 @@ Vocabulary = list[tuple[str, float]]
 
 
 def read_vocabulary(path: str) -> Vocabulary:
-    """Pieces and scores of a sentencepiece model, without control, unknown and byte pieces.
+    """Pieces and scores of a unigram vocabulary: the JSON of a tokenizer whose model is Unigram, or a sentencepiece model, without
+    control, unknown and byte pieces.
 
-    A model of merges ranks its pieces (scores -0, -1, ...); ranks become log probabilities of Zipf's law, log(1 / (rank + 2)), so
-    that sums of scores weigh pieces as a unigram model does. Pieces that the model keeps for its user's own symbols are left out.
+    A sentencepiece model of merges has no scores of a unigram model, but ranks its pieces (scores -0, -1, ...). Its ranks become log
+    probabilities of Zipf's law, log(1 / (rank + 2)), so that sums of scores weigh pieces as a unigram model does. Pieces that the model keeps for its user's own symbols are left out.
     """
-    import math
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model.get("type") != "Unigram":
+            raise ValueError("the tokenizer's model is not Unigram")
+        return [(piece, score) for piece, score in model["vocab"]]
 
     from sentencepiece import SentencePieceProcessor
 
@@ -89,7 +97,8 @@ def _counter(path: str) -> Cache:
 def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens of every row, repeated rows and null keys included; null and blank texts have 0 of both.
 
-    ``model`` is the path of a sentencepiece model at the executors. Other columns of docs are not read, whatever their names.
+    ``model`` is the path of a vocabulary at the executors; see read_vocabulary. A very long text's words are in the memory of a task
+    as a whole, and a word is counted in one go. Other columns of docs are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
