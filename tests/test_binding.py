@@ -116,6 +116,17 @@ def test_tokens_mixed_items_and_wildcards(spark):
     assert (names("##any"), names("##local"), names("##other", "urn:x"), names("##targetNamespace", "urn:x"), names("urn:x"), names("urn:none")) == (["b", "c"], ["b"], [], ["c"], ["c"], [])
 
 
+def test_markup_reads_back(spark):
+    """Prefixes bound twice, default namespaces that come and go, references and both kinds of empty elements."""
+    texts = ['<a xmlns="urn:a" xmlns:p="urn:p" p:q="1 &lt;&#10;"><p:b xmlns:p="urn:other"><p:c/></p:b><p:d/><e xmlns=""><f></f></e>x &amp; <![CDATA[<y>]]></a>', "<r>t<s/>u</r>", "<xml:a xml:lang='en'/>"]
+    nodes = node_rows(spark, *texts, columns=[*N.NAMES, "uses"])
+    again = N.read_nodes(N.markup(nodes, "k"), "k", "xml")
+    shown = lambda df: sorted((r.k, r.node, r.kind, r.uri, r.name, r.text, r.closed, sorted((r.attributes or {}).items())) for r in df.filter("kind = 'element'").collect())
+    same = lambda rows: [(k, kind, uri or None, *rest) for k, _, kind, uri, *rest in rows]
+    assert same(shown(again)) == same(shown(nodes))
+    assert N.markup(nodes.filter("k = 1"), "k").first().xml == texts[1]
+
+
 def test_records_inside_records_are_not_their_own(spark):
     rows = N.subtrees(node_rows(spark, "<l><r><r>in</r></r><x><r>out</r></x></l>"), "k", "r")
     assert sorted({r.record for r in rows.collect()}) == [1, 5]

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from xylem import schema_queries  # noqa: F401  adds its own
 from xylem.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -25,7 +25,7 @@ def namespaces(record: Record, prefixes: dict[str, str] | None = None) -> dict[s
         for uri in [r.namespace, *(f.namespace for f in r.all_fields())]:
             if uri and uri not in found:
                 free = (f"ns{i}" for i in range(len(found) + len(given) + 1))
-                found[uri] = given.get(uri) or next(p for p in free if p not in found.values() and p not in given.values())
+                found[uri] = given[uri] if uri in given else next(p for p in free if p not in found.values() and p not in given.values())
         for f in r.all_fields():
             if isinstance(f.type, Record) and f.type.name not in above:
                 visit(f.type, (*above, r.name))
@@ -84,6 +84,12 @@ def publish(record: Record, value: Column, root: str | None = None, prefixes: di
     return F.when(value.isNotNull(), _element(tag, F.concat(F.lit(declared), attributes), content))
 
 
+def publish_mixed(tag: str, items: Column) -> Column:
+    """Mixed content from items in order, as mixed_items gives them: text runs (#text) and children of text."""
+    one = lambda i: F.when(i.kind == "#text", S.escape_text(i.value)).otherwise(F.concat(F.lit("<"), i.kind, F.lit(">"), S.escape_text(F.coalesce(i.value, F.lit(""))), F.lit("</"), i.kind, F.lit(">")))
+    return _element(tag, F.lit(""), F.array_join(F.transform(items, one), ""))
+
+
 def unwritable(record: Record, value: Column) -> Column:
     """Names of scalar fields whose values do not read back as they are: facets, and blanks in items of lexical lists."""
     tests = []

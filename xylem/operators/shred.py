@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
 from xylem.plans.schema import Record, no_violations, one_violation
+from xylem.sources.nodes import any_attributes, read_nodes
 
 MALFORMED = "__malformed"
 #: Elements and attributes match by local name, text is not trimmed, unknown markup is skipped, documents that are not read are kept.
@@ -23,12 +24,14 @@ def root_of(xml: Column) -> tuple[Column, Column]:
     return F.nullif(uri, F.lit("")), F.regexp_replace(name, r"\A[^:]*:", "")
 
 
-def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors: str = "errors", columns: list[str] | None = None, strict_root: bool = False) -> DataFrame:
+def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors: str = "errors", columns: list[str] | None = None, strict_root: bool = False, key: str | None = None) -> DataFrame:
     """df with a struct of typed fields and an array of violations; columns keeps from_xml from reading more than is needed.
 
     Null documents have a null struct and no violations. Documents that are not well formed, or use undefined entities, have a struct
     of nulls and the violation "well-formed document" without a field. strict_root: a root that is not the record's element, its
     namespace included, is a violation too. A document is read a second time, in pieces, only where a scalar's text holds a "<".
+    key: a column that tells documents apart; with it, the root's any_attribute field is filled in from the node reader, by a join.
+    Without it, and below the root, such fields are null.
     """
     wanted = record.only(*columns) if columns else record
     doc, raw = F.col(xml), F.col("__raw")
@@ -45,7 +48,14 @@ def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors:
         good = (name == record.name) & uri.eqNullSafe(F.lit(record.namespace))
         expected = f"element {{{record.namespace}}}{record.name}" if record.namespace else f"element {record.name}"
         found.append(F.when(raw[MALFORMED].isNull() & ~good, one_violation("", expected, S.clark_name(uri, name))).otherwise(no_violations()))
-    return parsed.withColumns({into: wanted.typed(whole), errors: F.concat(*found)}).drop("__raw", "__whole")
+    out = parsed.withColumns({into: wanted.typed(whole), errors: F.concat(*found)}).drop("__raw", "__whole")
+    rest = next((f.name for f in wanted.fields if f.kind == "any_attribute"), None)
+    if key and rest:
+        roots = read_nodes(df, key, xml, columns=["node", "kind", "attributes"]).filter("node = 0 and kind = 'element'")
+        known = [f.tag for f in wanted.fields if f.kind == "attribute"]
+        found_there = roots.select(F.col(key).alias("__key"), any_attributes(F.col("attributes"), known).alias("__rest"))
+        out = out.join(found_there, F.col(key) == F.col("__key"), "left").withColumn(into, F.when(F.col(into).isNotNull(), F.col(into).withField(rest, F.col("__rest")))).drop("__key", "__rest")
+    return out
 
 
 def valid(df: DataFrame, mode: str = "PERMISSIVE", errors: str = "errors") -> DataFrame:

@@ -216,7 +216,9 @@ class Record:
         """What typed() makes; its simpleString() is the DDL of a table for the records."""
         out = T.StructType()
         for f in self.all_fields():
-            if f.kind != "any_attribute":
+            if f.kind == "any_attribute":
+                out.add(f.name, T.MapType(T.StringType(), T.StringType()), True, {"xml_name": f.tag, "kind": f.kind})
+            else:
                 kind = f.type.typed_schema() if isinstance(f.type, Record) else f.type.spark_type()
                 about = {"xml_name": f.tag, "kind": f.kind} | {k: v for k in ("namespace", "default", "fixed") if (v := getattr(f, k)) is not None}
                 out.add(f.name, T.ArrayType(kind) if f.many else kind, True, about)
@@ -248,7 +250,8 @@ class Record:
         """The struct of typed fields that the text of raw denotes; null where raw is null."""
         columns = []
         for f in self.all_fields():
-            if f.kind == "any_attribute":
+            if f.kind == "any_attribute":  # filled in from nodes, as from_xml cannot read it
+                columns.append(F.lit(None).cast(ANY_ATTRIBUTES).alias(f.name))
                 continue
             one = f.type.typed if isinstance(f.type, Record) else lambda v, f=f: f.type.parse(self._text(f, v))
             value = raw.getField(f.source)
@@ -287,6 +290,7 @@ class Record:
         return out
 
 
+ANY_ATTRIBUTES = "map<string,string>"
 VIOLATION = "array<struct<field:string,expected:string,value:string>>"
 
 

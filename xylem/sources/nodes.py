@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xylem.functions import scalars as S
+
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 DEPTH = 256
 #: node: number in document order. last: greatest number below the node. place: among its parent's nodes. kind: element, text or
@@ -20,8 +22,10 @@ DEPTH = 256
 #: resolved.
 NODE = "node int, parent int, last int, depth int, place int, kind string, uri string, name string, qname string, text string, empty boolean, closed boolean, nil boolean, type string, attributes map<string,string>"
 NAMES = [c.split()[0] for c in NODE.split(", ")]
+#: A further column, read where it is asked for: namespaces by the prefixes that an element's name and attributes have.
+USES = "uses map<string,string>"
 _KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split(" ", 1)[1]]) for c in NODE.split(", ")])
+SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split(" ", 1)[1]]) for c in [*NODE.split(", "), USES]])
 #: Nodes of a batch of rows.
 BATCH = 10_000
 
@@ -29,12 +33,12 @@ BATCH = 10_000
 class Reader:
     """Nodes of documents, as one list for each column."""
 
-    def __init__(self, limit: int = DEPTH):
-        self.limit = limit
+    def __init__(self, limit: int = DEPTH, uses: bool = False):
+        self.limit, self.uses = limit, uses
         self.clear()
 
     def clear(self) -> None:
-        self.columns: dict[str, list] = {name: [] for name in NAMES}
+        self.columns: dict[str, list] = {name: [] for name in SCHEMA.names}
 
     def __len__(self) -> int:
         return len(self.columns["node"])
@@ -63,8 +67,8 @@ class Reader:
     def refuse(self, *_):
         raise ValueError("document type declarations are not read")
 
-    def add(self, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes) -> None:
-        values = (len(self) - self.first, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes)
+    def add(self, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes, uses=None) -> None:
+        values = (len(self) - self.first, parent, last, depth, place, kind, uri, name, qname, text, empty, closed, nil, type_, attributes, uses)
         for column, value in zip(self.columns.values(), values, strict=True):
             column.append(value)
 
@@ -106,7 +110,11 @@ class Reader:
         depth, (parent, place) = len(self.open), self.below()
         self.open.append(len(self))
         self.places.append(0)
-        self.add(parent, None, depth, place, "element", uri, local, name, "", True, False, nil, kind, pairs)
+        uses = None
+        if self.uses:
+            uses = {name.rpartition(":")[0]: uri or ""} | {k.rpartition(":")[0]: self.resolved(k, attribute=True)[0] for k, _ in pairs if ":" in k}
+            uses = [(k, v) for k, v in uses.items() if v is not None and k != "xml"]
+        self.add(parent, None, depth, place, "element", uri, local, name, "", True, False, nil, kind, pairs, uses)
 
     def end(self, name: str) -> None:
         if self.open:
@@ -128,10 +136,10 @@ class Reader:
 
 def read_nodes(df: DataFrame, key: str, xml: str, limit: int = DEPTH, columns: Sequence[str] = NAMES) -> DataFrame:
     """key and NODE, or some of its columns, for each node of each document; null documents have no nodes."""
-    kinds = dict(c.split(" ", 1) for c in NODE.split(", "))
+    kinds = dict(c.split(" ", 1) for c in [*NODE.split(", "), USES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(limit)
+        reader = Reader(limit, "uses" in columns)
         schema = pa.schema([SCHEMA.field(c) for c in columns])
 
         def out(keys: list, of: pa.Array) -> pa.RecordBatch:
@@ -220,6 +228,31 @@ def wildcard(nodes: DataFrame, known: list[str], namespace: str = "##any", targe
     return nodes.filter((F.col("kind") == "element") & ~F.col("name").isin(*known) & allowed)
 
 
+def markup(nodes: DataFrame, *keys: str) -> DataFrame:
+    """keys and xml: the text of each group of nodes, which are those of a document or of one of its subtrees, read with USES.
+
+    Names and prefixes are as they were written; the top declares the namespaces that prefixes stand for, and where a prefix stands
+    for several, each element that uses it declares its own. A group is as large as its document.
+    """
+    entry = "array<struct<key:string,value:string>>"
+    attributes = F.array_join(F.transform(F.map_entries("attributes"), lambda p: F.concat(F.lit(" "), p.key, F.lit('="'), S.escape_attribute(p.value), F.lit('"'))), "")
+    event = lambda at, side, depth, head, tail, uses: F.struct(at.alias("at"), F.lit(side).alias("side"), depth.alias("depth"), head.alias("head"), tail.alias("tail"), uses.cast(entry).alias("uses"))
+    none, nothing = F.array(), F.lit("")
+    start = event(F.col("node"), 0, F.lit(0), F.concat(F.lit("<"), "qname"), F.concat(attributes, F.when(F.col("closed"), "/>").otherwise(">")), F.coalesce(F.map_entries("uses"), none.cast(entry)))
+    end = event(F.col("last"), 1, -F.col("depth"), F.concat(F.lit("</"), "qname", F.lit(">")), nothing, none)
+    text = event(F.col("node"), 0, F.lit(0), S.escape_text(F.col("text")), nothing, none)
+    events = F.when(F.col("kind") == "text", F.array(text)).when(F.col("closed"), F.array(start)).otherwise(F.array(start, end))
+    rows = nodes.filter("kind in ('element', 'text')").select(*keys, F.explode(events).alias("event"))
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("event")).alias("events"), F.flatten(F.collect_set("event.uses")).alias("all"))
+    pairs = F.array_sort(F.array_distinct("all"))
+    shared = F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: q.key == p.key)) == 1)
+    declared = lambda of: F.array_join(F.transform(of, lambda p: F.concat(F.when(p.key == "", " xmlns").otherwise(F.concat(F.lit(" xmlns:"), p.key)), F.lit('="'), S.escape_attribute(p.value), F.lit('"'))), "")
+    top = F.filter("shared", lambda p: p.value != "")
+    own = lambda e: F.filter(e.uses, lambda p: ~F.exists("shared", lambda q: q.key == p.key))
+    shown = F.transform("events", lambda e, i: F.concat(e.head, F.when(i == 0, declared(top)).otherwise(""), declared(own(e)), e.tail))
+    return grouped.withColumn("shared", shared).select(*keys, F.array_join(shown, "").alias("xml"))
+
+
 def any_attributes(attributes: Column, known: list[str]) -> Column:
     """Attributes whose local names no field has, under the names that were written."""
     return F.map_filter(attributes, lambda k, _: ~F.regexp_replace(k, "^[^:]*:", "").isin(*known))
