@@ -70,6 +70,11 @@ def test_names_need_confirming():
     assert extraction.extract_text("<p>one two three</p><div class='my-sidebar'><a>four</a></div><section class=discussion><p class=comment>five</p></section><div class=sidebar>six</div>") == "one two three"
 
 
+def test_pages_inside_a_form():
+    assert extraction.extract_text("<body><form><nav>Menu</nav><div><p>all of the page</p></div><form><label>Search</label>for <input></form></form></body>").startswith("all of the page")
+    assert extraction.extract_text("<body><form>log in</form><p>the text of the page is here</p></body>") == "the text of the page is here"
+
+
 def test_broken_sections_and_deep_pages():
     for broken in ("<![foo[bar]]>", "<![ foo ]>"):
         assert extraction.extract_text(f"<p>a</p>{broken}<p>rest of page</p>") == "a rest of page"
