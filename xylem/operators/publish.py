@@ -90,6 +90,22 @@ def publish_mixed(tag: str, items: Column) -> Column:
     return _element(tag, F.lit(""), F.array_join(F.transform(items, one), ""))
 
 
+def content_unwritable(record: Record, value: Column) -> Column:
+    """Names of the elements that would be written, each with a semicolon, where they do not follow the record's content pattern;
+    null where they do, or there is none."""
+    if not record.content:
+        return F.lit(None).cast("string")
+    tokens = [F.lit("")]
+    for f in record.all_fields():
+        if f.kind == "element":
+            uri, own = f.namespace or record.namespace, value.getField(f.name)
+            token = (f"{{{uri}}}" if uri else "") + f"{f.tag};"
+            times = F.size(F.filter(own, F.isnotnull)) if f.many else own.isNotNull().cast("int")
+            tokens.append(F.coalesce(F.repeat(F.lit(token), F.greatest(times, F.lit(0))), F.lit("")))
+    joined = F.concat(*tokens)
+    return F.when(value.isNotNull() & ~S.matches(joined, record.content), joined)
+
+
 def unwritable(record: Record, value: Column) -> Column:
     """Names of scalar fields whose values do not read back as they are: facets, and blanks in items of lexical lists."""
     tests = []

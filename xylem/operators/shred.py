@@ -42,12 +42,14 @@ def shred(df: DataFrame, xml: str, record: Record, into: str = "record", errors:
     mended = F.transform(F.array(pieces), lambda p: F.when(p.isNotNull(), wanted.mended(raw, p)).otherwise(wanted.same(raw)))
     parsed = parsed.select("*", F.explode(mended).alias("__whole"))
     whole = F.col("__whole")
-    found = [F.when(raw[MALFORMED].isNotNull(), one_violation("", "well-formed document", raw[MALFORMED])).otherwise(wanted.violations(whole))]
+    malformed = raw[MALFORMED].isNotNull()
+    found = [F.when(malformed, one_violation("syntax", "", "well-formed document", raw[MALFORMED])).otherwise(no_violations())]
     if strict_root:
         uri, name = root_of(doc)
         good = (name == record.name) & uri.eqNullSafe(F.lit(record.namespace))
         expected = f"element {{{record.namespace}}}{record.name}" if record.namespace else f"element {record.name}"
-        found.append(F.when(raw[MALFORMED].isNull() & ~good, one_violation("", expected, S.clark_name(uri, name))).otherwise(no_violations()))
+        found.append(F.when(~malformed & ~good, one_violation("root", "", expected, S.clark_name(uri, name))).otherwise(no_violations()))
+    found.append(F.when(malformed, no_violations()).otherwise(wanted.violations(whole)))
     out = parsed.withColumns({into: wanted.typed(whole), errors: F.concat(*found)}).drop("__raw", "__whole")
     rest = next((f.name for f in wanted.fields if f.kind == "any_attribute"), None)
     if key and rest:

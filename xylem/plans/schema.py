@@ -261,8 +261,9 @@ class Record:
         return F.when(raw.isNotNull(), F.struct(*columns))
 
     def violations(self, raw: Column, path: str = "") -> Column:
-        """array of struct(field, expected, value): values that are none of their type, and fixed values that differ."""
-        found = []
+        """array of struct(code, field, expected, value): values that are none of their type or break its facets, types that may not
+        stand, and fixed values that differ."""
+        found, after = [], []
         for f in self.all_fields():
             if f.kind == "any_attribute":
                 continue
@@ -270,28 +271,36 @@ class Record:
             if isinstance(f.type, Record):
                 one = lambda v, f=f, where=where: f.type.violations(v, f"{where}.")
                 found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), no_violations()) if f.many else F.when(value.isNotNull(), one(value)).otherwise(no_violations()))
-            else:
-                one = lambda v, f=f, where=where: self._scalar_violations(f, v, where)
-                found.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), no_violations()) if f.many else one(value))
+                continue
+            tests = [(found, self._scalar_violations)] + ([(after, self._fixed_violations)] if f.fixed is not None else [])
+            for out, test in tests:
+                one = lambda v, f=f, where=where, test=test: test(f, v, where)
+                out.append(F.coalesce(F.flatten(F.transform(value, _unary(one))), no_violations()) if f.many else one(value))
         if self.variants and self.abstract:
             known = [v.name for v in self.variants]
             named = S.local_name(raw.getField("_type"))
-            found.append(F.when(raw.isNotNull() & ~F.coalesce(named.isin(*known), F.lit(False)), one_violation(f"{path}xsi:type", " | ".join(known), named)).otherwise(no_violations()))
-        return F.concat(*found) if found else no_violations()
+            found.append(F.when(raw.isNotNull() & ~F.coalesce(named.isin(*known), F.lit(False)), one_violation("type", f"{path}xsi:type", " | ".join(known), named)).otherwise(no_violations()))
+        return F.concat(*found, *after) if found else no_violations()
 
     def _scalar_violations(self, f: Field, value: Column, where: str) -> Column:
+        text, kind = self._text(f, value), f.type.item.base if f.type.item else f.type.base
+        bad = text.isNotNull() & f.type.parse(text).isNull()
+        plain = replace(Scalar(), base=f.type.base, item=f.type.item, union=f.type.union)
+        if plain == f.type:
+            return F.when(bad, one_violation("scalar", where, kind, text)).otherwise(no_violations())
+        facet = one_violation("facet", where, kind, text)
+        return F.when(bad, F.when(plain.parse(text).isNull(), one_violation("scalar", where, kind, text)).otherwise(facet)).otherwise(no_violations())
+
+    def _fixed_violations(self, f: Field, value: Column, where: str) -> Column:
         text = self._text(f, value)
         parsed = f.type.parse(text)
-        bad = text.isNotNull() & parsed.isNull()
-        out = F.when(bad, one_violation(where, f.type.item.base if f.type.item else f.type.base, text)).otherwise(no_violations())
-        if f.fixed is not None:
-            differs = parsed.isNotNull() & ~parsed.eqNullSafe(f.type.parse(F.lit(f.fixed)))
-            out = F.when(differs, one_violation(where, f"fixed {f.fixed}", text)).otherwise(out)
-        return out
+        return F.when(parsed.isNotNull() & ~parsed.eqNullSafe(f.type.parse(F.lit(f.fixed))), one_violation("fixed", where, f"fixed {f.fixed}", text)).otherwise(no_violations())
 
 
 ANY_ATTRIBUTES = "map<string,string>"
-VIOLATION = "array<struct<field:string,expected:string,value:string>>"
+#: Codes, in the order that violations of a document have: syntax alone; root; then of each record, those of its fields in their
+#: order (scalar, facet, and what is below), xsi:type, and fixed.
+VIOLATION = "array<struct<code:string,field:string,expected:string,value:string>>"
 
 
 def no_violations() -> Column:
@@ -307,8 +316,8 @@ def _binary(f):
     return lambda v, w: f(v, w)
 
 
-def one_violation(where: str, expected: str, value: Column) -> Column:
-    return F.array(F.struct(F.lit(where).alias("field"), F.lit(expected).alias("expected"), value.alias("value")))
+def one_violation(code: str, where: str, expected: str, value: Column) -> Column:
+    return F.array(F.struct(F.lit(code).alias("code"), F.lit(where).alias("field"), F.lit(expected).alias("expected"), value.alias("value")))
 
 
 class Builder:

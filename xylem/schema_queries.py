@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
 from xylem.operators import transcode
-from xylem.operators.publish import publish, publish_mixed, unwritable
+from xylem.operators.publish import content_unwritable, publish, publish_mixed, unwritable
 from xylem.operators.shred import shred
 from xylem.plans.schema import FLOAT, INT, STRING, Builder, Record, Scalar
 from xylem.queries import DEFAULTS, element, query, table
@@ -291,6 +292,29 @@ def any_attribute_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.col("record.rest")["q:name"].alias("name"), publish(record, F.col("record")).alias("doc"))
 
 
+@query("SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a;b;' ELSE 'c;c;' END AS tokens FROM customer")
+def content_unwritable_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record that has both branches of a choice, or too many of an element, is told before it is written."""
+    body = f'<xs:element name="r"><xs:complexType><xs:choice>{_LEAVES["a"]}{_LEAVES["b"]}{_LEAVES["c"]}</xs:choice></xs:complexType></xs:element>'
+    made = _schema(body).record("r")
+    record = Record(made.name, tuple(replace(f, many=f.name == "c") for f in made.fields), content=made.content)
+    key, x = F.col("c_custkey"), F.lit("x")
+    value = F.struct(F.when(key % 3 < 2, x).alias("a"), F.when(key % 3 == 1, x).alias("b"), F.when(key % 3 == 2, F.array(x, x)).alias("c"))
+    return table(spark, sf_dir, "customer").select(key.alias("key"), content_unwritable(record, value).alias("tokens"))
+
+
+@query(
+    """SELECT c_custkey AS key, CASE c_custkey % 4 WHEN 0 THEN ['syntax'] WHEN 1 THEN ['root', 'scalar', 'facet', 'fixed'] WHEN 2 THEN ['facet'] ELSE ['scalar', 'fixed'] END AS codes FROM customer"""
+)
+def violation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong comes in one order: syntax alone, the root, fields, and fixed values after all fields."""
+    record = Builder("r").attribute("f", INT, fixed="5").element("n", INT).element("p", Scalar(patterns=("[a-c]+",))).build()
+    key = F.col("c_custkey")
+    doc = F.when(key % 4 == 0, "<r><n>").when(key % 4 == 1, '<q f="6"><n>x</n><p>d</p></q>').when(key % 4 == 2, '<r f="5"><n>1</n><p>d</p></r>').otherwise('<r f="7"><n>-</n><p>abc</p></r>')
+    rows = shred(_documents(spark, sf_dir, "customer", "c_custkey", doc), "doc", record, strict_root=True)
+    return rows.select("key", F.transform("errors", lambda e: e.code).alias("codes"))
+
+
 # -- JSON
 
 
