@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from tests.llm import cases
 from tests.llm.cases import edited, prose
 from tests.llm.test_near_and_repeats import shingles
 from xylem.llm import queries
@@ -59,3 +62,31 @@ def test_whole_run_on_awkward_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_take_awkward_rows_one_by_one(spark, tmp_path):
+    """Clashing columns, nulls, blanks, repeated rows, and one id for two texts: each stage's rows by what it may do to them."""
+    spark.createDataFrame([(1, 1, 0), (20, 1, 0), (5, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    shared = [(900, prose(700 + i, 60), *cases.rows()[0][2:]) for i in range(2)] * 2
+    docs = spark.createDataFrame([*cases.rows(), *shared], cases.SCHEMA).repartition(3)
+    before = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out, nothing = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0
+        if name == "packing":
+            pieces = out.collect()
+            assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0) and sum(p.start == 0 for p in pieces) == before.total()
+            continue
+        assert out.columns == docs.columns == nothing.columns
+        rows = out.collect()
+        after = Counter((r.doc_id, r.text) for r in rows)
+        assert all(r.node == 1 and r.record == "r" and bytes(r.digest) == b"d" for r in rows)
+        if name == "suffix-array dedup":
+            assert Counter(i for i, _ in after.elements()) == Counter(i for i, _ in before.elements())
+        else:
+            assert not after - before
+        if name == "quality rules":
+            assert not any((t or "").strip() == "" or len(t.split()) < 20 for _, t in after)
+        if name == "n-gram Jaccard join":  # one row of each text that has words, all of those that have none
+            assert all(n == (1 if (t or "").split() else before[i, t]) for (i, t), n in after.items())
+            assert {t for i, t in after if i == 900} == {t for i, t in before if i == 900} and {i for i, t in before if not (t or "").split()} <= {i for i, _ in after}
