@@ -117,7 +117,7 @@ def text_key(text: Column) -> Column:
 
 
 #: Classes of hashes that tell rows which may join from rows which cannot; so many numbers are broadcast at most.
-CLASSES = 1 << 18
+CLASSES = 1 << 21
 
 
 def parted(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +137,8 @@ def told_apart(docs: DataFrame, decided: DataFrame, key: str, text: str) -> tupl
     keyed = docs.withColumns({"__id": F.col(key).cast("long"), "__digest": text_key(F.col(text))})
     some, others = parted(keyed, mark("__id", "__digest"), decided.select(mark("doc_id", "digest").alias("mark")))
     more = decided.withColumnsRenamed({"doc_id": "__of", "digest": "__text"})
-    return some.join(more, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__text")), "left"), others.select(*docs.columns)
+    # decided may grow with docs, so it is not broadcast at any size
+    return some.join(more.hint("merge"), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__text")), "left"), others.select(*docs.columns)
 
 
 def byte_words(text: str | None) -> list[bytes]:

@@ -52,7 +52,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Join:
     """words: of a shingle. percent: the threshold. counter_bits: of the frequency table's size (4 bytes each). hubs:
     representatives of a column in a turn. compared: of a row's pairs that are completed in a turn. worthwhile: share of links among
-    a turn's pairs up to which there are no more turns. block_entries: of a block of the product, so of a task's memory. hot: entries
+    a turn's possible pairs up to which there are no more turns. block_entries: of a block of the product, so of a task's memory. hot: entries
     from which a column is dealt to several blocks; a table's counter shows it, if it is far above the mean. column: entries of a
     column that are multiplied with each other in one go."""
 
@@ -61,7 +61,7 @@ class Join:
     counter_bits: int = 22
     hubs: int = 3
     compared: int = 2
-    worthwhile: float = 0.05
+    worthwhile: float = 0.2
     block_entries: int = 500_000
     hot: int = 500_000
     column: int = 4096
@@ -153,6 +153,8 @@ def _counters(survey: DataFrame, join: Join) -> np.ndarray:
 
 
 _ENTRY = ("<u8", "<i8", "<u4", "<u4")
+#: Columns go by 48 bits of an n-gram's hash: two n-grams that share them only make candidates more.
+_COLUMN = np.uint64((1 << 48) - 1)
 
 
 def _entries(docs: DataFrame, counters, join: Join, blocks: int, limit: int, more: int, seed: int) -> DataFrame:
@@ -176,8 +178,9 @@ def _entries(docs: DataFrame, counters, join: Join, blocks: int, limit: int, mor
             if not seen:
                 continue
             arrays = [np.concatenate(c) for c in columns]
-            of = (arrays[0] % np.uint64(blocks)).astype(np.int64)
             hot = table[(arrays[0] >> shift).astype(np.int64)] > limit
+            arrays[0] &= _COLUMN
+            of = (arrays[0] % np.uint64(blocks)).astype(np.int64)
             of[hot] = blocks + (mixed(arrays[0][hot] ^ arrays[1][hot].view(np.uint64)) % np.uint64(more)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             starts = np.searchsorted(of[order], np.arange(blocks + more + 1))
@@ -346,9 +349,24 @@ def _between(apart: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
     return signed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "a long, b long").distinct()
 
 
+def _possible(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """The pairs whose sizes and signatures let them reach the threshold."""
+    of = lambda x: rows.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}"))
+    both = pairs.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b").select("a", "b", "n_a", "n_b", "signature_a", "signature_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            first, second = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), -1) for i in (4, 5))
+            need = -(-join.percent * n // (100 + join.percent))
+            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(first ^ second).sum(axis=1) <= n - 2 * need))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _completed(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
     """a, b and overlap of the pairs whose rows, multiplied to the end, reach the threshold."""
-    left = pairs.join(rows.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
+    left = pairs.hint("merge").join(rows.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
     both = left.join(rows.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b").select("a", "b", "row_a", "row_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,18 +412,18 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [shingles(t.as_py(), join.words) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([signature(r).tobytes() for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "row", "signature"])
+            columns = [batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([signature(r).tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "row", "signature"])
 
     some, _ = parted(narrow, F.col("digest"), wanted.select("digest"))
-    once = some.join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text")
-    made = once.mapInArrow(own, "node long, row binary, signature binary").repartition(partitions, "node")
+    once = some.join(wanted.hint("merge"), "digest").dropDuplicates(["digest"]).select("node", "text")
+    made = once.mapInArrow(own, "node long, n long, row binary, signature binary").repartition(partitions, "node")
     rows = staging.deal(made, "rows", "node", batch_rows=1000)  # read in each turn, so dealt out by node once and for all
 
     links, turn, more_turns = None, 0, True
     while True:
         # while overlaps with few rows often are links, it is too early to multiply all rows of different groups
-        pairs = staging.save(_by_hubs(apart, turn, join) if more_turns else _between(apart, rows, join), f"pairs-{turn}")
+        pairs = staging.save(_possible(_by_hubs(apart, turn, join), rows, join) if more_turns else _between(apart, rows, join), f"pairs-{turn}")
         new = staging.save(_completed(pairs, rows, join), f"links-{turn}", batch_rows=500)
         found = new.count()
         links = new if links is None else links.union(new)
