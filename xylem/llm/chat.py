@@ -57,7 +57,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     Turns stand in the order of their number, null first; turns of one number by role and text, repeated rows as often as they
     occur. Null roles and texts count as empty. Rows without a conversation id form one conversation with a null id. The mask
     covers the text, without header and end, of each turn whose role is ``loss_role``. An empty input has no rows; other columns
-    are not read, whatever their names.
+    are not read, whatever their names. A conversation, and so a very long text, is a row, in the memory of a task as a whole.
     """
     source = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")

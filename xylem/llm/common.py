@@ -92,6 +92,13 @@ class Staging:
         path, system = self._path(name)
         system.delete(path, True)
 
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """A run that fails leaves nothing behind either."""
+        self.close()
+
     def close(self) -> None:
         """Removes all tables."""
         for name in list(self.dealt):

@@ -182,7 +182,8 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Every document's picture, read back: key, n_bytes, position, caption and the features of the stored form.
 
     Null and empty texts are one row of zeros. Equal texts share a digest and so all values; repeated rows and null keys are kept,
-    each with its own page. Other columns of docs are not read, whatever their names. An empty input has no rows.
+    each with its own page. Other columns of docs are not read, whatever their names. An empty input has no rows. A very long text
+    and its picture are in the memory of a task as a whole.
     """
     staging = Staging(docs.sparkSession, "media")
     pages = staging.save(to_pages(docs, key, text), "pages")

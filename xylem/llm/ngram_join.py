@@ -384,9 +384,13 @@ def _completed(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
 def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     """A table of doc_id, digest (of the text), n and component (a node; null without shingles) of every row. All other tables that
     led to it are gone."""
+    with Staging(docs.sparkSession, "ngram-join") as staging:
+        return Staging(docs.sparkSession, "near-copies").save(_link(docs, join, key, text, staging), "rows")
+
+
+def _link(docs: DataFrame, join: Join, key: str, text: str, staging: Staging) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staging = Staging(spark, "ngram-join")
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("digest"))
     for seed in range(5, 1 << 30, 2):
         survey = staging.save(_survey(narrow, join, seed), "survey", batch_rows=2000)
@@ -436,10 +440,7 @@ def _linked(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
         turn += 1
         apart = staging.deal(_apart(apart.drop("component"), groups), f"apart-{turn}", "gram")
         staging.drop(f"apart-{turn - 1}")
-    out = members.join(groups.withColumnRenamed("component", "of"), "node", "left").select("doc_id", "digest", "n", F.coalesce("of", "node").alias("component"))
-    out = Staging(spark, "near-copies").save(out, "rows")
-    staging.close()
-    return out
+    return members.join(groups.withColumnRenamed("component", "of"), "node", "left").select("doc_id", "digest", "n", F.coalesce("of", "node").alias("component"))
 
 
 def link_groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
