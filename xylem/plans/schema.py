@@ -146,7 +146,8 @@ class Field:
 @dataclass(frozen=True)
 class Record:
     """variants: types that xsi:type may name in place of this one; their fields are added to the struct, under a discriminator.
-    content: a pattern over the children's names, each followed by a semicolon."""
+    content: a pattern over the children's names, each followed by a semicolon. ordered: whether children of several names may take
+    turns, so that their lists alone do not tell their order; see nodes.ordered_items."""
 
     name: str
     fields: tuple[Field, ...] = ()
@@ -154,6 +155,7 @@ class Record:
     abstract: bool = False
     variants: tuple[Record, ...] = ()
     content: str | None = None
+    ordered: bool = False
 
     def all_fields(self) -> list[Field]:
         found = {f.name: f for f in self.fields}
@@ -235,6 +237,14 @@ class Record:
                 found |= inner
         return found
 
+    def ordered_names(self) -> list[str]:
+        """Names of the elements, this record's and those below it, whose children may take turns."""
+        below = [(f.tag, f.type) for f in self.all_fields() if isinstance(f.type, Record)]
+        found = ([self.name] if self.ordered else []) + [tag for tag, r in below if r.ordered]
+        for _, r in below:
+            found += replace(r, ordered=False).ordered_names()
+        return list(dict.fromkeys(found))
+
     def _text(self, f: Field, value: Column) -> Column:
         """Text of a scalar as it counts: null where nil, the default where empty."""
         if f.nillable and f.kind == "element":

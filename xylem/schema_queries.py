@@ -182,6 +182,15 @@ def choice_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shredded(spark, sf_dir, body, "<r>", inside, "</r>").select("key", "record.a", "record.b")
 
 
+@query("SELECT c_custkey AS key, i AS position, CASE i WHEN 1 THEN 'b' ELSE 'a' END AS kind, CASE i WHEN 0 THEN 'one' WHEN 1 THEN c_name ELSE 'two' END AS value FROM customer, (VALUES (0), (1), (2)) t(i)")
+def items_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice that repeats is read as one stream of items, in the order of the document."""
+    record = _schema(f'<xs:element name="r"><xs:complexType><xs:choice maxOccurs="unbounded">{_LEAVES["a"]}{_LEAVES["b"]}</xs:choice></xs:complexType></xs:element>').record("r")
+    docs = _documents(spark, sf_dir, "customer", "c_custkey", "<r><a>one</a>", element("b", F.col("c_name")), "<a>two</a></r>")
+    items = N.ordered_items(N.read_nodes(docs, "key", "doc"), "key", record)
+    return items.select("key", F.posexplode("items").alias("position", "item")).select("key", "position", "item.kind", "item.value")
+
+
 @query("SELECT p_partkey AS key FROM part WHERE p_partkey % 4 >= 2")
 def all_group_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of an all group each child stands once, in any order; optional ones may be missing."""

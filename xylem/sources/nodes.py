@@ -216,6 +216,12 @@ def mixed_items(nodes: DataFrame, key: str) -> DataFrame:
     return inner.groupBy(key, "parent").agg(F.transform(ordered, lambda i: F.struct(i.kind.alias("kind"), i.value.alias("value"))).alias("items"))
 
 
+def ordered_items(nodes: DataFrame, key: str, record) -> DataFrame:
+    """key, node, name and items, as mixed_items gives them, of the elements whose children may take turns by the record's schema."""
+    owners = nodes.filter((F.col("kind") == "element") & F.col("name").isin(*record.ordered_names())).select(key, "node", "name")
+    return owners.join(mixed_items(nodes, key).withColumnRenamed("parent", "node"), [key, "node"], "left").select(key, "node", "name", F.coalesce("items", F.array().cast("array<struct<kind:string,value:string>>")).alias("items"))
+
+
 def wildcard(nodes: DataFrame, known: list[str], namespace: str = "##any", target: str | None = None) -> DataFrame:
     """Elements that a wildcard takes: not among the known names, and in a namespace that it allows."""
     uri = F.col("uri")

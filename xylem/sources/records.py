@@ -48,8 +48,9 @@ def split_records(df: DataFrame, xml: str, record: Record, tag: str | None = Non
 
 
 def within_bytes(df: DataFrame, xml: str, limit: int = 16 << 20) -> DataFrame:
-    """Documents of at most so many bytes without a document type declaration."""
-    return df.filter((F.octet_length(xml) <= limit) & ~F.contains(F.col(xml), F.lit("<!DOCTYPE")))
+    """Documents of at most so many bytes without a document type declaration before the root."""
+    declared = F.regexp_like(xml, F.lit(r"(?s)\A\x{FEFF}?(?:\s+|<\?.*?\?>|<!--.*?-->)*<!DOCTYPE"))
+    return df.filter((F.octet_length(xml) <= limit) & ~declared)
 
 
 def write_records(df: DataFrame, path: str, root: str, row: str) -> None:
