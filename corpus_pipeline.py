@@ -28,13 +28,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return ngram_join.without_near_copies(docs)
 
 
-#: Strings of the dedup stage: all of more than 50 words, whatever their bytes, and those of operator 4.
-PASSAGES = suffix_dedup.Repeats(length=51, gram=10, piece=4, words=True)
+#: Strings of the dedup stage: all of more than 50 words, whatever their bytes, and those of operator 4. Two batches are enough for
+#: documents that are all there at once.
+PASSAGES = suffix_dedup.Repeats(length=51, gram=10, piece=4, words=True, batches=2)
+STRINGS = replace(suffix_dedup.BYTES, batches=2)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the long strings that occur elsewhere; n_chars is that of the text left."""
-    left = suffix_dedup.without_repeats(docs, PASSAGES, suffix_dedup.BYTES)
+    left = suffix_dedup.without_repeats(docs, PASSAGES, STRINGS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
