@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
-from xylem.plans.schema import Field, Record, Scalar
+from xylem.plans.schema import BOOL, FLOAT, INT, Field, Record, Scalar
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 
@@ -40,8 +40,30 @@ def _name(local: str, uri: str | None, known: dict[str, str]) -> str:
     return f"{known[uri]}:{local}" if uri and known.get(uri) else local
 
 
-def _element(tag: str, attributes: Column, inside: Column) -> Column:
-    return F.when(inside == "", F.concat(F.lit(f"<{tag}"), attributes, F.lit("/>"))).otherwise(F.concat(F.lit(f"<{tag}"), attributes, F.lit(">"), inside, F.lit(f"</{tag}>")))
+def _element(tag: str, attributes: Column, inside: Column, blank: Column) -> Column:
+    """blank: whether inside is empty, told without it, as what is named twice is written twice, at each level again."""
+    start = F.concat(F.lit(f"<{tag}"), attributes)
+    return F.concat(start, F.when(blank, F.lit("/>")).otherwise(F.concat(F.lit(">"), inside, F.lit(f"</{tag}>"))))
+
+
+def _text(kind: Scalar, value: Column) -> tuple[Column, Column]:
+    """Escaped text of a scalar, and whether it is empty."""
+    text = kind.text(value)
+    if kind.base in ("int", "float", "bool") and not kind.item and not kind.union:
+        return text, F.lit(False)
+    return S.escape_text(text), text == ""
+
+
+def _blank(record: Record, value: Column) -> Column:
+    """Whether a record has no content."""
+    out = F.lit(True)
+    for f in record.all_fields():
+        own = value.getField(f.name)
+        if f.kind == "text":
+            out = out & F.coalesce(_text(f.type, own)[1] | own.isNull(), F.lit(True))
+        elif f.kind == "element":
+            out = out & (~F.coalesce(F.exists(own, F.isnotnull), F.lit(False)) if f.many else own.isNull())
+    return out
 
 
 def _parts(record: Record, value: Column, known: dict[str, str]) -> tuple[Column, Column]:
@@ -50,12 +72,13 @@ def _parts(record: Record, value: Column, known: dict[str, str]) -> tuple[Column
     for f in sorted(record.all_fields(), key=lambda f: ("attribute", "any_attribute", "text", "element").index(f.kind)):
         own = value.getField(f.name)
         if f.kind == "attribute":
-            attributes.append(F.coalesce(F.concat(F.lit(f' {_name(f.tag, f.namespace, known)}="'), S.escape_attribute(f.type.text(own)), F.lit('"')), F.lit("")))
+            escaped = own.cast("string") if f.type in (INT, FLOAT, BOOL) else S.escape_attribute(f.type.text(own))
+            attributes.append(F.coalesce(F.concat(F.lit(f' {_name(f.tag, f.namespace, known)}="'), escaped, F.lit('"')), F.lit("")))
         elif f.kind == "any_attribute":
             pairs = F.array_sort(F.map_entries(own))
             attributes.append(F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(F.lit(" "), p.key, F.lit('="'), S.escape_attribute(p.value), F.lit('"'))), ""), F.lit("")))
         elif f.kind == "text":
-            content.append(F.coalesce(S.escape_text(f.type.text(own)), F.lit("")))
+            content.append(F.coalesce(_text(f.type, own)[0], F.lit("")))
         else:
             content.append(_child(f, own, record, known))
     if record.variants:
@@ -66,10 +89,10 @@ def _parts(record: Record, value: Column, known: dict[str, str]) -> tuple[Column
 def _child(f: Field, own: Column, owner: Record, known: dict[str, str]) -> Column:
     if isinstance(f.type, Scalar):
         tag = _name(f.tag, f.namespace or owner.namespace, known)
-        one = lambda v: _element(tag, F.lit(""), S.escape_text(f.type.text(v)))
+        one = lambda v: F.when(v.isNotNull(), _element(tag, F.lit(""), *_text(f.type, v)))
     else:
         tag = _name(f.tag, f.namespace or f.type.namespace, known)
-        one = lambda v: F.when(v.isNotNull(), _element(tag, *_parts(f.type, v, known)))
+        one = lambda v: F.when(v.isNotNull(), _element(tag, *_parts(f.type, v, known), _blank(f.type, v)))
     if f.many:
         return F.coalesce(F.array_join(F.transform(own, lambda v: F.coalesce(one(v), F.lit(""))), ""), F.lit(""))
     return F.coalesce(one(own), F.lit(""))
@@ -81,13 +104,14 @@ def publish(record: Record, value: Column, root: str | None = None, prefixes: di
     declared = "".join(f' xmlns{":" + p if p else ""}="{uri}"' for uri, p in known.items())
     attributes, content = _parts(record, value, known)
     tag = _name(root or record.name, record.namespace, known)
-    return F.when(value.isNotNull(), _element(tag, F.concat(F.lit(declared), attributes), content))
+    return F.when(value.isNotNull(), _element(tag, F.concat(F.lit(declared), attributes), content, _blank(record, value)))
 
 
 def publish_mixed(tag: str, items: Column) -> Column:
     """Mixed content from items in order, as mixed_items gives them: text runs (#text) and children of text."""
     one = lambda i: F.when(i.kind == "#text", S.escape_text(i.value)).otherwise(F.concat(F.lit("<"), i.kind, F.lit(">"), S.escape_text(F.coalesce(i.value, F.lit(""))), F.lit("</"), i.kind, F.lit(">")))
-    return _element(tag, F.lit(""), F.array_join(F.transform(items, one), ""))
+    inside = F.array_join(F.transform(items, one), "")
+    return _element(tag, F.lit(""), inside, inside == "")
 
 
 def content_unwritable(record: Record, value: Column) -> Column:
