@@ -187,3 +187,25 @@ def test_bad_documents_are_errors_not_failures(spark):
     rows = transcode.xml_to_json_dynamic(documents(spark, "<a>", None, "<a/>"), "doc").orderBy("k").collect()
     assert [(r.json, r.error is None) for r in rows] == [(None, False), (None, True), ('{"a":null}', True)]
     assert transcode.json_to_xml_dynamic(documents(spark, "{"), "doc").first().error
+
+
+def test_published_text_is_planned_once(spark):
+    """What an element holds is written once, however deep it is nested."""
+    record = Builder("e5").element("leaf_value").build()
+    for i in range(4, -1, -1):
+        record = Builder(f"e{i}").element(f"e{i + 1}", record).build()
+    value = F.struct(F.col("leaf_value"))
+    for i in range(5, 0, -1):
+        value = F.struct(value.alias(f"e{i}"))
+    text = publish(record, value)
+    rows = spark.createDataFrame([("a<",), ("",), (None,)], "leaf_value string")
+    start, end = "".join(f"<e{i}>" for i in range(5)), "".join(f"</e{i}>" for i in range(4, -1, -1))
+    assert [r[0] for r in rows.select(text).collect()] == [f"{start}<e5><leaf_value>a&lt;</leaf_value></e5>{end}", f"{start}<e5><leaf_value/></e5>{end}", f"{start}<e5/>{end}"]
+    assert str(text).count("</leaf_value>") == 1
+
+
+def test_bounds_and_lists_at_their_limits(spark):
+    record = Builder("r").element("v", Scalar("int", min_inclusive="-5", max_exclusive="99999999999999999999")).element("w", Scalar("list", item=INT, max_length=2)).build()
+    texts = ["<r><v> +7\n</v><w>1\t\n2</w></r>", "<r><v>-6</v><w>1 2 3</w></r>", "<r><v>1.5</v><w>1 x</w></r>", "<r><v>9223372036854775807</v><w> </w></r>", "<r><v>7 7</v></r>"]
+    found = [(r.v, r.w) for r, _ in read(spark, record, *texts)]
+    assert found == [(7, [1, 2]), (None, None), (None, None), (9223372036854775807, []), (None, None)]

@@ -7,6 +7,7 @@ spoiling its record.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -39,9 +40,9 @@ class Scalar:
     def parse(self, text: Column) -> Column:
         """The value, or null where the text is none."""
         if self.item:
-            items = S.split_list(text)
-            parsed = F.transform(items, self.item.parse)
-            return F.when(F.forall(parsed, F.isnotnull) & self._holds(text, items), parsed)
+            parsed = F.transform(S.split_list(text), self.item.parse)
+            # transform over a one-element array binds the items once
+            return F.get(F.transform(F.array(parsed), lambda p: F.when(F.forall(p, F.isnotnull) & self._holds(text, p), p)), F.lit(0))
         if self.union:
             return F.when(self._holds(text, None), F.coalesce(*(m.parse(text).cast("string") for m in self.union)))
         value = self._base(text)
@@ -90,8 +91,10 @@ class Scalar:
         return out
 
     def _bounded(self, text: Column, limit: str, name: str) -> Column:
-        """Unbounded integers compare exactly, all others as doubles; a limit that is no number holds for nothing."""
-        if self.base in S.INTEGER_SIGNS or self.base == "int":
+        """Integers compare exactly, all others as doubles; a limit that is no number holds for nothing."""
+        if self.base == "int" and re.fullmatch("[+-]?[0-9]{1,18}", limit.strip(S.SPACES), re.ASCII):
+            value, bound = text.try_cast("bigint"), F.lit(int(limit)).cast("bigint")
+        elif self.base in S.INTEGER_SIGNS or self.base == "int":
             value, bound = S.integer_key(text), S.integer_key(F.lit(limit))
         else:
             value, bound = S.parse_float(text), S.parse_float(F.lit(limit))
