@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import cases
@@ -199,3 +200,14 @@ def test_passages_of_over_fifty_words_leave_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
     assert left[1] == "aa  bb" and left[2] == "cc   dd" and left[3] == rows[2][1] and left[4] == rows[3][1] and left[5] == "iijj" and left[7] is None
+
+
+def test_levels_of_equal_batches_merge_alike(spark, tmp_path):
+    """Batches whose sizes differ a little merge as equal ones do: the merged level of two is not merged with the third again."""
+    how = suffix_dedup.Repeats(length=60, gram=20, piece=7)
+    family, merged = suffix_dedup.Family(spark, f"file://{tmp_path}/family", how), []
+    for batch, words in enumerate((300, 300, 330, 300)):
+        family.add(suffix_dedup.texts_of(spark.createDataFrame([(cases.prose(900 + batch, words),)], "text string"), "text"))
+        merged.append(len(family.levels))
+    assert merged == [1, 2, 2, 3]
+    family.drop()

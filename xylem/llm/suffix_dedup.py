@@ -9,8 +9,8 @@ whose first ``gram`` units have the least hash, so equal strings have anchors at
   shuffle, so a head in a third of all documents is a row from each task.
 * The array is merge-scanned for heads that occur in it twice, and, by a sort-merge join of tables with equal buckets and order,
   against each existing level for heads that occur there: these are the places where long matches may be.
-* Then it is a level of its own. Before the next batch, levels merge while the older of two has fewer than twice the rows of the
-  newer, so n batches leave about log n levels and a head is rewritten about log n times.
+* Then it is a level of its own. Before the next batch, levels merge while the older of two has fewer than MERGED times the rows of
+  the newer, so n batches leave about log n levels and a head is rewritten about log n times.
 
 The family is a folder: levels, the places of anchors, repeated heads and a manifest. It can be opened by another session, and
 takes later batches then; see Family.
@@ -60,6 +60,10 @@ class Repeats:
 
 BYTES = Repeats()
 
+#: Levels merge below this ratio. Batches of equal size give ratios near 1, 2, 4, ...; it is apart from all of these, so that
+#: small differences of size do not decide what merges.
+MERGED = 1.5
+
 #: Starts of strings whose anchors are looked for at once, so that very long texts need little memory beside their own.
 CHUNK = 1 << 22
 
@@ -171,7 +175,7 @@ class Family:
     def add(self, texts: DataFrame) -> None:
         """Adds a batch (text, data): its suffix array is scanned against itself and all levels, and becomes a level."""
         gone = []
-        while len(self.levels) > 1 and self.levels[-2][0] < 2 * self.levels[-1][0]:
+        while len(self.levels) > 1 and self.levels[-2][0] < MERGED * self.levels[-1][0]:
             (_, one), (_, two) = self.levels.pop(), self.levels.pop()
             a, b = self.spark.table(one).alias("a"), self.spark.table(two).alias("b")  # merged in the order that both have
             n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
