@@ -211,3 +211,15 @@ def test_levels_of_equal_batches_merge_alike(spark, tmp_path):
         merged.append(len(family.levels))
     assert merged == [1, 2, 2, 3]
     family.drop()
+
+
+def test_repeats_in_texts_that_are_not_well_formed(spark):
+    """Bytes that are no UTF-8 count as they are."""
+    passage = cases.prose(8, 60)[:90].encode()
+    data = [(1, b"a\xff" + passage + b"\xfe\x80" + b"tail"), (2, b"\x80b" + passage + b"\xff"), (3, b"\xff" * 130), (4, "é".encode() * 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    found = suffix_dedup.removed_spans(docs, suffix_dedup.Repeats(length=60, gram=20, piece=7))
+    got = {r.doc_id: (r.n_bytes, [(s.begin, s.end) for s in r.spans], r.kept_sha256) for r in found.select("doc_id", "n_bytes", "spans", "kept_sha256").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got[1] == (98, [(2, 92)], sha(b"a\xff\xfe\x80tail")) and got[2] == (93, [(2, 92)], sha(b"\x80b\xff"))
+    assert got[3] == (130, [(0, 130)], sha(b"")) and got[4] == (120, [(0, 120)], sha(b""))

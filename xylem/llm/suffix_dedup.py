@@ -100,7 +100,7 @@ def anchors_of(text: Text, how: Repeats) -> tuple[np.ndarray, np.ndarray, np.nda
 def texts_of(docs: DataFrame, text: str, least: int = 0) -> DataFrame:
     """text (its key) and data of every row whose text has so many bytes at least."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("whole")).filter(F.octet_length("whole") >= least)
-    return rows.select(text_key(F.col("whole")).alias("text"), F.encode("whole", "UTF-8").alias("data"))
+    return rows.select(text_key(F.col("whole")).alias("text"), F.col("whole").cast("binary").alias("data"))
 
 
 def _anchors(texts: DataFrame, how: Repeats) -> DataFrame:
@@ -422,8 +422,8 @@ def _with_removals(rows: DataFrame, found: DataFrame, text: str, names: list[str
 
 def _left(whole: Column, kept_text: Column) -> Column:
     """The text that is left, null where nothing is removed."""
-    data = F.encode(whole, "UTF-8")
-    return F.array_join(F.transform(kept_text, lambda s: F.decode(F.substring(data, (s.begin + 1).cast("int"), (s.end - s.begin).cast("int")), "UTF-8")), "")
+    data = whole.cast("binary")
+    return F.array_join(F.transform(kept_text, lambda s: F.substring(data, (s.begin + 1).cast("int"), (s.end - s.begin).cast("int")).cast("string")), "")
 
 
 def without_repeats(docs: DataFrame, *how: Repeats, text: str = "text", families: Sequence[Family] = ()) -> DataFrame:
@@ -447,7 +447,7 @@ def removed_spans(docs: DataFrame, *how: Repeats, key: str = "doc_id", text: str
     found = removals(docs, how or (BYTES,), text, families)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    data = F.encode("text", "UTF-8")
+    data = F.col("text").cast("binary")  # its bytes as they are, well formed or not
 
     def make(spans: Column, kept: Column, kept_text: Column) -> list[Column]:
         # as hexadecimal digits, bytes of all stretches are joined at once
