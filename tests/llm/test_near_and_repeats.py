@@ -82,6 +82,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_groups_merge_by_few_links(spark):
+    """Of many links between the same groups one is gone through, and what is linked already none."""
+    staging, links = Staging(spark, "test"), lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, later = [(i, i + 1) for i in range(1, 20)] + [(i, i + 1) for i in range(31, 50)], [(i, j) for i in range(1, 20) for j in range(31, 50)] + [(3, 9), (60, 20), (71, 70)]
+    groups = components.merged(components.components(links(first), staging, "some"), links(later), staging, "more")
+    both = components.components(links(first + later), staging, "both")
+    assert Counter(map(tuple, groups.collect())) == Counter(map(tuple, both.collect()))
+
+
 def test_packed_arrays_round_trip():
     x, y = np.arange(1000, dtype=np.uint64) ** 3, np.arange(1000, dtype=np.uint32)
     for a, b in zip(unpack(pack(x, y), "<u8", "<u4"), (x, y), strict=True):

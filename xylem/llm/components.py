@@ -29,3 +29,17 @@ def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
         if new.filter("component <> was").isEmpty():
             staging.drop(f"{name}-edges")
             return labels
+
+
+def merged(groups: DataFrame, links: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """groups (node, component) after further links (a, b).
+
+    A link counts as one between the groups of its ends, once for each two groups, so what is linked already is not gone through
+    again, and many links between two groups are one.
+    """
+    of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), staging, f"{name}-moved")
+    nodes = groups.unionAll(moved.select("node", F.col("node").alias("component"))).distinct()
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return staging.save(nodes.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), name)

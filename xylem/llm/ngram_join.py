@@ -18,7 +18,7 @@ is less sharp and no less exact. A task ships its counters compressed, one or tw
 
 Equal sets are one row, so copies cost nothing. Groups need no pair inside a group that is linked already, so the product is taken
 in turns: each row by a few representatives of its columns first, and their greatest overlaps are completed, until a turn finds few
-links; then all rows that still are in different groups. A column with very many entries is dealt to several blocks, and pairs of
+links or settles few entries; then all rows that still are in different groups. A column with very many entries is dealt to several blocks, and pairs of
 blocks are multiplied apart.
 
 N-grams are compared by 64-bit hashes, within columns and pairs of rows. Rows stand for equal sets by 128 bits: should two sets agree
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.common import LOWER, Staging, mixed, pack, parted, text_key, told_apart, unpack
-from xylem.llm.components import components
+from xylem.llm.components import components, merged
 from xylem.llm.rolling import Text
 
 _IN_WORD = np.ones(256, bool)
@@ -52,7 +52,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Join:
     """words: of a shingle. percent: the threshold. counter_bits: of the frequency table's size (4 bytes each). hubs:
     representatives of a column in a turn. compared: of a row's pairs that are completed in a turn. worthwhile: share of links among
-    a turn's possible pairs up to which there are no more turns. block_entries: of a block of the product, so of a task's memory. hot: entries
+    a turn's possible pairs up to which there are no more turns. settled: share of the entries in columns of several groups that a
+    turn must settle, or else there are no more. block_entries: of a block of the product, so of a task's memory. hot: entries
     from which a column is dealt to several blocks; a table's counter shows it, if it is far above the mean. column: entries of a
     column that are multiplied with each other in one go."""
 
@@ -62,6 +63,7 @@ class Join:
     hubs: int = 3
     compared: int = 2
     worthwhile: float = 0.2
+    settled: float = 0.1
     block_entries: int = 500_000
     hot: int = 500_000
     column: int = 4096
@@ -424,22 +426,25 @@ def _link(docs: DataFrame, join: Join, key: str, text: str, staging: Staging) ->
     made = once.mapInArrow(own, "node long, n long, row binary, signature binary").repartition(partitions, "node")
     rows = staging.deal(made, "rows", "node", batch_rows=1000)  # read in each turn, so dealt out by node once and for all
 
-    links, turn, more_turns = None, 0, True
+    groups, turn, more_turns, entries = None, 0, True, None
     while True:
         # while overlaps with few rows often are links, it is too early to multiply all rows of different groups
         pairs = staging.save(_possible(_by_hubs(apart, turn, join), rows, join) if more_turns else _between(apart, rows, join), f"pairs-{turn}")
-        new = staging.save(_completed(pairs, rows, join), f"links-{turn}", batch_rows=500)
-        found = new.count()
-        links = new if links is None else links.union(new)
-        last, more_turns = not more_turns, turn == 0 or found > join.worthwhile * pairs.count()
+        links = staging.save(_completed(pairs, rows, join), f"links-{turn}", batch_rows=500)
+        found, met = links.count(), pairs.count()
         staging.drop(f"pairs-{turn}")
-        if turn == 0 or found:
-            groups = components(links, staging, f"groups-{turn}")
-        if last:
+        if groups is None:
+            groups = components(links, staging, "first-groups")
+        elif found:
+            groups = merged(groups, links, staging, f"groups-{turn}")
+        staging.drop(f"links-{turn}")
+        if not more_turns:
             break
         turn += 1
         apart = staging.deal(_apart(apart.drop("component"), groups), f"apart-{turn}", "gram")
         staging.drop(f"apart-{turn - 1}")
+        before, entries = entries, apart.count()
+        more_turns = before is None or found > join.worthwhile * met and entries <= (1 - join.settled) * before
     return members.join(groups.withColumnRenamed("component", "of"), "node", "left").select("doc_id", "digest", "n", F.coalesce("of", "node").alias("component"))
 
 
