@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -106,6 +107,22 @@ def test_scores_follow_from_whole_counts(spark):
     assert not got[50].kept
 
 
+def test_all_trusted_documents_count(spark):
+    """Where every document is trusted, the target is the raw corpus and all scores are 0, however many there are."""
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("string")) for i in range(20))).alias("text"))
+    got = quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).first()
+    assert (got.n, got.low, got.high) == (20_500, 0, 0)
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(5)
+    for n, share in ((1, 0.0), (2, 0.5), (7, 0.001), (999, 0.001), (1000, 0.37), (1000, 1.0)):
+        values = [rng.choice((-5_000_000, rng.randint(-9000, 9000), -1, 0)) for _ in range(n)]
+        scores = spark.createDataFrame([(v,) for v in values], "score long")
+        assert math.isclose(quality.percentile(scores, share), scores.agg(F.percentile("score", F.lit(share))).first()[0], rel_tol=1e-12)
+    assert quality.percentile(scores.limit(0), 0.5) is None
+
+
 def test_judgement_carries_whole_rows(spark):
     docs = cases.docs(spark)
     kept = quality.judge(docs, labels(spark, []), carry=True).select("record.*")

@@ -6,8 +6,9 @@ sums are integers, so scores and the threshold are the same in every run and on
 plain rules and its score reaches the threshold. That is the score that all but a fixed share of trusted documents reach under a
 model that has not seen them: they are dealt into two halves, and each is scored by the model of the other.
 
-Narrow passes over the texts, built-in functions only. What is broadcast or becomes a literal is bounded by parameters: the ids of
-trusted documents and one number per bucket.
+Built-in functions only. All trusted documents count, so their texts are a table of their own, from a join that is not broadcast;
+every other pass over the texts is narrow. What is broadcast or becomes a literal is bounded: classes of the trusted documents' ids
+and one number per bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import Staging, words_of
+from xylem.llm.common import Staging, parted, words_of
 
 #: Fixed values of the plain rules.
 SYMBOLS = "#*$%&|<>"
@@ -27,13 +28,11 @@ WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 
 @dataclass(frozen=True)
 class Rules:
-    """buckets: of the n-gram hash. orders: of the n-grams. trusted_rows: bound of the labelled rows that the target model is
-    fitted on, those with the least hash of their id. share: of held-out trusted documents that may fall below the threshold.
+    """buckets: of the n-gram hash. orders: of the n-grams. share: of held-out trusted documents that may fall below the threshold.
     margin: in millionths, subtracted from that score. smoothing: added to each bucket's count."""
 
     buckets: int = 8192
     orders: tuple[int, ...] = (1, 2)
-    trusted_rows: int = 20_000
     share: float = 0.001
     margin: int = 0
     smoothing: int = 5
@@ -88,19 +87,23 @@ def grams(hashed: Column, rules: Rules) -> Column:
     return F.transform(F.concat(*hashes), lambda h: F.pmod(h, F.lit(rules.buckets)).cast("int"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules, key: str, text: str) -> list[list[int]]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules, text: str) -> list[list[int]]:
     """Millionths of the log ratio of each bucket, for the model of each half of the trusted documents and of all of them. The raw
-    counts are of every document."""
-    flagged = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(trusted), "__key", "left")  # bounded by rules.trusted_rows
-    hashed = flagged.select(F.coalesce("__half", F.lit(-1)).alias("half"), F.transform(words_of(F.col("__text")), lambda w: F.xxhash64(w)).alias("hashed"))
-    counted = hashed.select("half", F.explode(grams(F.col("hashed"), rules)).alias("bucket")).groupBy("bucket")
-    rows = counted.agg(F.count("*").alias("raw"), *(F.count_if(F.col("half") == h).alias(f"half_{h}") for h in (0, 1))).collect()  # one row per bucket at most
+    counts are of every document. trusted: half and text of all trusted documents."""
+    hashed = lambda rows: F.transform(words_of(rows), lambda w: F.xxhash64(w)).alias("hashed")
+
+    def counted(rows: DataFrame, *of: Column) -> list:
+        return rows.withColumn("bucket", F.explode(grams(F.col("hashed"), rules))).groupBy("bucket").agg(*of).collect()  # one row per bucket at most
+
+    seen = {r.bucket: r for r in counted(trusted.select("half", hashed(F.col("text"))), *(F.count_if(F.col("half") == h).alias(f"half_{h}") for h in (0, 1)))}
+    rows = counted(docs.select(hashed(F.col(text))), F.count("*").alias("raw"))
     n, s, raw = rules.buckets, rules.smoothing, sum(r.raw for r in rows)
     models = []
-    for of in (lambda r: r.half_0, lambda r: r.half_1, lambda r: r.half_0 + r.half_1):
-        target, ratios = sum(map(of, rows)), [0] * n
+    for halves in ((0,), (1,), (0, 1)):
+        of = {bucket: sum(r[f"half_{h}"] for h in halves) for bucket, r in seen.items()}
+        target, ratios = sum(of.values()), [0] * n
         for r in rows:
-            ratios[r.bucket] = round(1_000_000 * math.log((of(r) + s) / (target + s * n) * (raw + s * n) / (r.raw + s)))
+            ratios[r.bucket] = round(1_000_000 * math.log((of.get(r.bucket, 0) + s) / (target + s * n) * (raw + s * n) / (r.raw + s)))
         models.append(ratios)
     return models
 
@@ -112,6 +115,30 @@ def score_of(grams: Column, ratios: list[int]) -> Column:
     return F.when(F.size(grams) > 0, F.expr("0L") + F.floor(total / F.size(grams))).otherwise(F.lit(0)).cast("long")
 
 
+#: Binary digits of the width of the ranges that scores are counted by.
+_RANGE = 12
+
+
+def percentile(scores: DataFrame, share: float) -> float | None:
+    """The exact percentile of the column score, None without rows: counts by ranges, and then the counts of the few scores in the
+    ranges that hold it. Ratios are bounded and so are the ranges, and no task holds all scores."""
+    counts = sorted((r.part, r.n) for r in scores.groupBy(F.shiftright("score", _RANGE).alias("part")).agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return None
+    position = share * (sum(n for _, n in counts) - 1)
+    low, high = math.floor(position), math.ceil(position)
+    before, wanted = 0, []
+    for part, n in counts:
+        if before <= high and before + n > low:
+            wanted.append((part, before))
+        before += n
+    place, found = wanted[0][1], {}
+    for r in sorted(scores.filter(F.shiftright("score", _RANGE).isin([part for part, _ in wanted])).groupBy("score").agg(F.count("*").alias("n")).collect(), key=lambda r: r.score):
+        found |= {p: r.score for p in (low, high) if place <= p < place + r.n}
+        place += r.n
+    return found[low] if low == high else (high - position) * found[low] + (position - low) * found[high]
+
+
 def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, the plain counts, base_failed, score and kept of every document; with carry, also record, a struct of its whole row.
 
@@ -123,17 +150,16 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), key: str =
     """
     chosen = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0 if "toxic" in labels.columns else F.lit(True)))
     chosen = chosen.select(F.col(key).alias("__key")).filter("__key is not null").distinct()
-    mark = F.xxhash64("__key", F.lit(rules.seed))
-    staging = Staging(docs.sparkSession, "quality")
-    trusted = staging.save(chosen.orderBy(mark, "__key").limit(rules.trusted_rows).withColumn("__half", F.pmod(mark, F.lit(2))), "trusted")
-
-    *halves, whole = log_ratios(docs, trusted, rules, key, text)
-    held_out = plain_counts(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(trusted), "__key"))
-    held_out = held_out.withColumn("grams", grams(F.col("hashed"), rules)).select("base_failed", F.when(F.col("__half") == 0, score_of(F.col("grams"), halves[1])).otherwise(score_of(F.col("grams"), halves[0])).alias("score"))
-    # a filter would be pushed below the counts and compute them again and again
-    reached = held_out.agg(F.percentile(F.when(~F.col("base_failed"), F.col("score")), F.lit(rules.share))).first()[0]  # of the trusted documents' scores
+    chosen = chosen.withColumn("__half", F.pmod(F.xxhash64("__key", F.lit(rules.seed)), F.lit(2)))
+    with Staging(docs.sparkSession, "quality") as staging:
+        # both sides grow, so neither is broadcast at any size; as a string, a key has one class whatever its type
+        some, _ = parted(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")), F.col("__key").cast("string"), chosen.select(F.col("__key").cast("string")))
+        trusted = staging.save(some.join(chosen.hint("merge"), "__key").select(F.col("__half").alias("half"), "text"), "trusted")
+        *halves, whole = log_ratios(docs, trusted, rules, text)
+        held_out = plain_counts(trusted).withColumn("grams", grams(F.col("hashed"), rules)).select("base_failed", F.when(F.col("half") == 0, score_of(F.col("grams"), halves[1])).otherwise(score_of(F.col("grams"), halves[0])).alias("score"))
+        # a filter would be pushed below the counts and compute them again and again
+        reached = percentile(staging.save(held_out, "held-out").filter("not base_failed"), rules.share)  # of the trusted documents' scores
     threshold = math.floor(reached if reached is not None else 0) - rules.margin
-    staging.close()
 
     record = [F.struct(*(docs[c] for c in docs.columns)).alias("record")] if carry else []
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *record)
