@@ -108,6 +108,37 @@ def test_wrapper_of_a_host_is_template(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_count_all_pages_of_a_host(spark):
+    """Ten hosts of 40 pages: what 31 of them have goes, what 29 have stays, wherever it is; and so by induce(), from the same pages."""
+    rows, want = [], {}
+    for host in range(10):
+        for i in range(40):
+            often, seldom, own = (7 * i + host) % 40 < 31, (11 * i + host) % 40 < 29, cases.prose(1000 * host + i, 40, 4000)
+            parts = ["Kept by the house"] * often + ["Seen now and then"] * seldom
+            rows.append((40 * host + i, f"http://h{host}.example/{i}", "<body>" + "".join(f"<div><p>{x}</p></div>" for x in [parts[-1] if parts else "", own, *parts[:-1]]) + "</body>"))
+            kept = ["Seen now and then"] * seldom
+            want[40 * host + i] = " ".join([*kept, own])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in extraction.extract(pages).collect()} == want
+    template = extraction.induce([html for _, url, html in rows if "//h3." in url])
+    assert all(extraction.extract_text(html, template) == want[i] for i, url, html in rows if "//h3." in url)
+
+
+def test_copies_among_the_pages_of_a_host(spark):
+    """Near copies that are nine tenths of a host, short ones beside long pages, and equal pages, never lose what they share."""
+    page = "<body><div><p>{}</p></div><div><p>{}</p></div><div><p>{}</p></div></body>".format
+    near = [("near", page(cases.prose(1, 20), f"edit {i}", cases.prose(2, 30))) for i in range(27)]
+    near += [("near", page(cases.prose(10 + i, 2000), "x", f"end {i}")) for i in range(3)]
+    equal = [("equal", page(cases.prose(20, 30), "a", "Our house"))] * 12 + [("equal", page(cases.prose(21 + i, 30), f"b{i}", f"c{i}")) for i in range(3)]
+    two = [("two", page(cases.prose(30 + i % 2, 30, 4000), f"d{i % 2}", "Our house")) for i in range(4)]
+    three = [("three", page(cases.prose(40 + i % 3, 30, 4000), f"e{i % 3}", "Our house")) for i in range(9)]
+    rows = [(i, f"http://{host}/", html) for i, (host, html) in enumerate([*near, *equal, *two, *three])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for r in extraction.extract(pages).collect():
+        whole = extraction.extract_text(rows[r.page_id][2])
+        assert r.text == (whole.removesuffix(" Our house") if r.url == "http://three/" else whole)
+
+
 def test_articles_of_the_test_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     for r in queries.op8_html_extraction(spark, "/root/testdata/sf0.01").collect():

@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-For each host a bounded number of pages, those with the least hashes, are the references. Their DOM trees are aligned two by two
-by simple tree matching, a dynamic programme over the children of nodes with equal tags. Aligned nodes with equal text in enough
-references are the host's template; the slots whose text varies are content. Pages are then read with the wrapper of their host:
+All pages of a host are counted: a text that the same place, a path of tags, has in enough of them is a candidate. The page with the
+least hash that has it is its example, and the DOM tree of every page of the host is aligned with the examples by simple tree matching,
+a dynamic programme over the children of nodes with equal tags. Candidates that are aligned with equal text in enough of all distinct
+pages of the host are its template; the slots whose text varies are content. Pages are then read with the wrapper of their host:
 template nodes, and elements that HTML itself or their names mark as menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments, are left out, and the blocks of the rest are joined in page order.
 
@@ -11,25 +12,30 @@ the articles and the page outside them, the part with the most words that are ne
 element only if no other word stands beside it, as in related-work, or else if most of the element is links; and never what holds
 main or, comments aside, the larger part of the page's words.
 
-References that share most of their text (copies of one page) count once, so a host full of copies induces no template. The
-references of a host, not its pages, meet in one task; the pages meet their wrapper in a join that splits a host with many pages.
+Equal pages count once. A host full of near copies shows no template: where pages lose so much to the candidates, on the average, that
+they could be copies of each other, all of them keep their text. Nothing of this hangs on a sample, and no task holds the pages of a
+host: they are counted by partial aggregates and meet the examples, and later the wrapper, in joins that split a host with many pages.
 Trees of any depth are walked without recursion.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.common import Staging, parted
+
 #: Fixed lists: elements without end tag, elements that end a block, elements without main text, and names that mark such parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -58,13 +64,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 @dataclass(frozen=True)
 class Induction:
-    """references: pages of a host that its wrapper is induced from. support: how many distinct ones must agree on a template node.
-    same: share of text from which two of them count as one."""
+    """share: of all distinct pages of a host that must agree on a template node. support: how many of them at least. same: share of
+    the words from which pages that have them in common count as copies."""
 
-    references: int = 4
+    share: float = 0.75
     support: int = 3
     same: float = 0.5
 
+    def least(self, pages: int) -> int:
+        return max(self.support, math.ceil(self.share * pages))
+
 
 _CLOSERS = frozenset().union(*CLOSED_BY.values())
 
@@ -191,7 +200,8 @@ def weigh(root: Node, template: dict[int, frozenset[str]]) -> None:
         node, inside, linked = left.pop()
         order.append(node)
         texts = template.get(node.path)
-        node.known = bool(texts and (node.tag in BLOCKS or not inside) and own_text(node) in texts)
+        node.words, node.links, node.holds = 0, 0, frozenset()
+        node.known = bool(texts and (node.tag in BLOCKS or not inside) and digest(own_text(node)) in texts)
         within, linked = inside or node.tag in ("article", "main"), linked or node.tag == "a"
         if not node.known:
             node.words = sum(len(c.split()) for c in node.children if isinstance(c, str))
@@ -208,6 +218,11 @@ def weigh(root: Node, template: dict[int, frozenset[str]]) -> None:
         node.holds = holds
 
 
+def digest(text: str) -> str:
+    """128 bits that stand for a text in a template."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def own_text(node: Node) -> str:
     """White-space normalized text of a node's own strings and phrases, without blocks below it."""
     out, left = [], node.children[::-1]
@@ -238,14 +253,19 @@ def elements(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
-def shapes_of(root: Node, known: dict[tuple, int]) -> dict[Node, int]:
-    """A number for each element of a tree, equal for equal trees of tags. known: numbers by tag and numbers of the children."""
+#: A candidate: its path and the digest of its text.
+Slot = tuple[int, str]
+
+
+def shapes_of(root: Node, known: dict[tuple, int], slot_of: dict[Node, Slot]) -> dict[Node, int]:
+    """A number for each element of a tree, equal for equal trees of tags and candidates. known: numbers by tag, candidate and numbers
+    of the children."""
     out: dict[Node, int] = {}
     left = [(root, False)]
     while left:
         node, ready = left.pop()
         if ready:
-            out[node] = known.setdefault((node.tag, tuple(out[c] for c in elements(node))), len(known))
+            out[node] = known.setdefault((node.tag, slot_of.get(node), tuple(out[c] for c in elements(node))), len(known))
         else:
             left.append((node, True))
             left.extend((c, False) for c in elements(node))
@@ -311,14 +331,19 @@ def _halved(a: Sequence[int], b: Sequence[int], worth) -> list[tuple[int, int]]:
     return step(a[:middle], b[:cut]) + [(middle + i, cut + j) for i, j in step(a[middle:], b[cut:])]
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the greatest matching that keeps order and ancestors, and the matched pairs. Sizes hang on the
-    tags alone, so each two shapes are matched once, however often they occur."""
+#: An aligned candidate is worth more than all nodes of a page.
+WORTH = 1 << 32
+
+
+def match(a: Node, b: Node, slot_of: dict[Node, Slot] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: size of the greatest matching that keeps order and ancestors, and the matched pairs. slot_of: nodes that are
+    candidates; as many equal ones as can be are matched, and WORTH each. Sizes hang on tags and candidates alone, so each two shapes
+    are matched once, however often they occur."""
     if a.tag != b.tag:
         return 0, []
     known: dict[tuple, int] = {}
-    of = shapes_of(a, known) | shapes_of(b, known)
-    tags, below = zip(*known, strict=True)
+    of = shapes_of(a, known, slot_of or {}) | shapes_of(b, known, slot_of or {})
+    tags, slot, below = zip(*known, strict=True)
     sizes: dict[tuple[int, int], int] = {}
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
@@ -335,7 +360,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             open_pairs.extend((u, v, False) for u in set(below[x]) for v in set(below[y]) if tags[u] == tags[v] and (u, v) not in sizes)
             continue
         inner, chosen[x, y] = aligned(below[x], below[y], worth)
-        sizes[x, y] = 1 + inner
+        sizes[x, y] = 1 + inner + (WORTH if slot[x] and slot[x] == slot[y] else 0)
     out, left = [], [(a, b)]
     while left:
         u, v = left.pop()
@@ -345,43 +370,81 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return sizes[of[a], of[b]], out
 
 
-def words(node: Node) -> set[str]:
-    out: set[str] = set()
-    left = [node]
-    while left:
-        for c in left.pop().children:
-            if isinstance(c, str):
-                out.update(c.split())
-            elif c.tag not in ("script", "style"):
-                left.append(c)
-    return out
+#: Phrases below more phrases than this are no slots, so that the texts of a page's slots are at most so many times the page.
+NESTED = 50
 
 
-def induce(pages: list[str], how: Induction = Induction()) -> dict[int, list[str]]:
-    """The wrapper of a host's references: texts of the template nodes of each path."""
-    trees, vocabularies = [], []
-    for page in pages:
-        tree = tree_of(page)
-        own = words(tree)
-        if all(len(own & v) <= how.same * min(len(own), len(v)) for v in vocabularies):
-            trees.append(tree)
-            vocabularies.append(own)
-    if len(trees) < how.support:
+def slots(root: Node) -> Iterator[tuple[Node, str]]:
+    """What may be of a template, with its own text: blocks, and outside of articles phrases with strings, that are not marked."""
+    left = [(root, False, 0)]
+    while left:
+        node, inside, depth = left.pop()
+        block = node.tag in BLOCKS
+        if block or not inside and depth <= NESTED and any(isinstance(c, str) and c.strip() for c in node.children):
+            text = own_text(node)
+            if text:
+                yield node, text
+        within, depth = inside or node.tag in ("article", "main"), 0 if block else depth + 1
+        left.extend((c, within, depth) for c in elements(node) if not marked(c, within))
+
+
+def key_of(host: str, node: Node, text: str) -> bytes:
+    """128 bits that stand for a text at a place of a host's pages."""
+    return hashlib.blake2b(f"{host}\0{node.path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+#: An example's tree and those of its nodes that are candidates.
+Example = tuple[Node, dict[Node, Slot]]
+
+#: What a page loses is counted in these parts of its words.
+PARTS = 1 << 20
+
+
+def example_of(host: str, root: Node, keys: set[bytes]) -> Example:
+    return root, {node: (node.path, digest(text)) for node, text in slots(root) if key_of(host, node, text) in keys}
+
+
+def agreement(root: Node, examples: Sequence[Example]) -> tuple[set[Slot], int]:
+    """Candidates that a page is aligned with, and how much of the page they are."""
+    wanted = template_of(slot for _, slot_of in examples for slot in slot_of.values())
+    own = {node: (node.path, text) for node, whole in slots(root) if node.path in wanted and (text := digest(whole)) in wanted[node.path]}
+    found: set[Slot] = set()
+    for example, slot_of in examples if own else ():
+        for x, y in match(example, root, slot_of | own)[1]:
+            if x in slot_of and slot_of[x] == own.get(y):
+                found.add(slot_of[x])
+    weigh(root, {})
+    total = root.words
+    weigh(root, template_of(found))
+    return found, (total - root.words) * PARTS // total if total else 0
+
+
+def template_of(found: Iterable[Slot]) -> dict[int, frozenset[str]]:
+    out: dict[int, set[str]] = {}
+    for path, text in found:
+        out.setdefault(path, set()).add(text)
+    return {path: frozenset(texts) for path, texts in out.items()}
+
+
+def induce(pages: list[str], how: Induction = Induction()) -> dict[int, frozenset[str]]:
+    """The wrapper of a few pages of one host, as wrappers() makes it of all: digests of the texts of the template nodes of each path."""
+    trees = [tree_of(page) for page in sorted(set(pages))]
+    least, having, chosen = how.least(len(trees)), {}, {}
+    for i, tree in enumerate(trees):
+        for key in {key_of("", node, text) for node, text in slots(tree)}:
+            having.setdefault(key, []).append(i)
+    for key, among in having.items():
+        if len(among) >= least:
+            chosen.setdefault(among[0], set()).add(key)
+    examples = [example_of("", trees[i], keys) for i, keys in chosen.items()]
+    agreed, lost = Counter(), 0
+    for tree in trees if examples else ():
+        found, part = agreement(tree, examples)
+        agreed.update(found)
+        lost += part
+    if lost > how.share * how.same * PARTS * len(trees):
         return {}
-    seen: dict[tuple[int, str], set[int]] = {}
-    for i in range(len(trees)):
-        for j in range(i + 1, len(trees)):
-            for x, y in match(trees[i], trees[j])[1]:
-                if x.tag not in BLOCKS and not any(isinstance(c, str) and c.strip() for c in x.children):
-                    continue  # the phrases in it stand for it
-                text = own_text(x)
-                if text and x.path == y.path and text == own_text(y):
-                    seen.setdefault((x.path, text), set()).update((i, j))
-    found: dict[int, list[str]] = {}
-    for (path, text), among in sorted(seen.items()):
-        if len(among) >= how.support:
-            found.setdefault(path, []).append(text)
-    return found
+    return template_of(slot for slot, n in agreed.items() if n >= least)
 
 
 def tops_of(root: Node) -> list[Node]:
@@ -452,24 +515,84 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, how: Induction = Induction(), seed: int = 8) -> DataFrame:
-    """host and template (JSON, texts by path) of each host whose references show one. pages: page_id, host, html."""
-    mark = F.xxhash64("page_id", F.crc32(F.encode(F.coalesce("html", F.lit("")), "UTF-8")), F.lit(seed))
-    parts = pages.select("host", mark.alias("mark"), "html").withColumn("part", F.pmod("mark", F.lit(how.references)))
-    chosen = parts.groupBy("host", "part").agg(F.min_by("html", "mark").alias("html"))
+def _texts_at_places(pages: DataFrame) -> DataFrame:
+    """a, b (the key of a text at a place of a host) and mark of every page that has it. pages: host, mark, html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[bytes] = []
+            marks: list[np.ndarray] = []
+            for host, mark, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = {key_of(host, node, text) for node, text in slots(tree_of(page.as_py()))}
+                found += own
+                marks.append(np.full(len(own), mark, np.int64))
+            halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (halves[:, 0], halves[:, 1], np.concatenate(marks or [np.empty(0, np.int64)]))], ["a", "b", "mark"])
+
+    return pages.mapInArrow(run, "a long, b long, mark long")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        template = induce(sorted(group.html.dropna()), how)
-        return pd.DataFrame({"host": [group.host.iloc[0]], "template": [json.dumps(template)]} if template else {"host": [], "template": []}, dtype=str)
 
-    return chosen.groupBy("host").applyInPandas(run, "host string, template string")  # how.references rows of a host at most
+def _agreements(pages: DataFrame) -> DataFrame:
+    """host, path and text of the candidates that pages are aligned with; and a row for each page, with null path and text, of how much
+    of it they are. pages: host, html and examples, an array of html and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[Example]] = {}
+        held = 0
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for i, host in enumerate(batch.column(0).to_pylist()):
+                if host not in known:
+                    given = batch.column(2)[i].as_py()
+                    if held > 1 << 22:
+                        known, held = {}, 0
+                    held += sum(len(x["html"]) for x in given)
+                    known[host] = [example_of(host, tree_of(x["html"]), {k["a"].to_bytes(8, "little", signed=True) + k["b"].to_bytes(8, "little", signed=True) for k in x["keys"]}) for x in given]
+                found, part = agreement(tree_of(batch.column(1)[i].as_py()), known[host])
+                for row in [(None, None, part), *((*x, None) for x in found)]:
+                    for column, x in zip(out, (host, *row), strict=True):
+                        column.append(x)
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["host", "path", "text", "part"])
+
+    return pages.mapInArrow(run, "host string, path long, text string, part long")
+
+
+def wrappers(pages: DataFrame, how: Induction = Induction()) -> DataFrame:
+    """A table with host and template (JSON, path and digest of each template node) of each host that shows one. pages: host, html.
+
+    All pages of a host are counted and aligned. Pages are told apart by 64 bits of hash, which only counts hang on.
+    """
+    spark = pages.sparkSession
+    told = pages.select("host", "html").filter("html != ''").withColumn("mark", F.xxhash64("host", "html"))
+    least = F.greatest(F.lit(how.support), F.ceil(F.lit(how.share) * F.col("pages")))
+    with Staging(spark, "induction") as staging:
+        marks = staging.save(told.groupBy("host", "mark").agg(F.count("*").alias("rows")), "marks")
+        sizes = staging.save(marks.groupBy("host").agg(F.count("*").alias("pages")), "sizes")
+        repeated, others = parted(told, F.col("mark"), marks.filter("rows > 1").select("mark"))
+        told = others.unionAll(repeated.dropDuplicates(["mark"])).select("host", "mark", "html")
+        counts = _texts_at_places(told).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("mark").alias("mark"))
+        counts = staging.save(counts.filter(F.col("n") >= how.support), "counts")
+        candidates = staging.save(counts.join(marks, "mark").join(sizes, "host").filter(F.col("n") >= least).select("host", "mark", "a", "b"), "candidates")
+        lists = candidates.groupBy("host", "mark").agg(F.collect_list(F.struct("a", "b")).alias("keys"))
+        some, _ = parted(told, F.col("mark"), candidates.select("mark"))
+        chosen = some.join(lists, ["host", "mark"])
+        examples = staging.save(chosen.groupBy("host").agg(F.collect_list(F.struct("html", "keys")).alias("examples")), "examples")
+        agreed = staging.save(_agreements(told.join(examples, "host").select("host", "html", "examples")), "agreed", batch_rows=500)
+        votes = agreed.filter("path is not null").groupBy("host", "path", "text").agg(F.count("*").alias("n"))
+        parts = agreed.filter("path is null").groupBy("host").agg(F.sum("part").alias("part"))
+        apart = sizes.join(parts, "host").filter(F.col("part") <= F.lit(how.share * how.same * PARTS) * F.col("pages"))
+        nodes = votes.join(apart, "host").filter(F.col("n") >= least)
+        template = F.to_json(F.sort_array(F.collect_list(F.struct("path", "text"))))
+        return Staging(spark, "wrappers").save(nodes.groupBy("host").agg(template.alias("template")), "templates")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", how: Induction = Induction()) -> DataFrame:
     """page_id, url and text of every row; null and empty pages have an empty text.
 
     Repeated rows are extracted as often as they occur. Pages without a host share the wrapper of the empty host. Other columns
-    are not read, whatever their names. An empty input has no rows. Very long pages and pages of any depth are read whole.
+    are not read, whatever their names. An empty input has no rows. Very long pages and pages of any depth are read whole. Templates are
+    made at once, from all pages, and stay in the shared folder as a table, small against the pages.
     """
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     joined = named.join(wrappers(named, how), "host", "left").select("page_id", "url", "html", "template")
@@ -482,7 +605,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 if template not in known:
                     if len(known) > 1000:
                         known = {None: {}}
-                    known[template] = {int(path): frozenset(found) for path, found in json.loads(template).items()}
+                    known[template] = template_of((x["path"], x["text"]) for x in json.loads(template))
                 texts.append(extract_text(page.as_py(), known[template]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
