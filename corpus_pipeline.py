@@ -30,7 +30,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 #: Strings of the dedup stage: all of more than 50 words, whatever their bytes, and those of operator 4. Two batches are enough for
 #: documents that are all there at once.
-PASSAGES = suffix_dedup.Repeats(length=51, gram=10, piece=4, words=True, batches=2)
+PASSAGES = suffix_dedup.PASSAGES
 STRINGS = replace(suffix_dedup.BYTES, batches=2)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import cases
-from xylem.llm import components, ngram_join, suffix_dedup
+from xylem.llm import components, ngram_join, queries, suffix_dedup
 from xylem.llm.common import Staging, pack, unpack
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -232,3 +232,25 @@ def test_repeats_in_texts_that_are_not_well_formed(spark):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got[1] == (98, [(2, 92)], sha(b"a\xff\xfe\x80tail")) and got[2] == (93, [(2, 92)], sha(b"\x80b\xff"))
     assert got[3] == (130, [(0, 130)], sha(b"")) and got[4] == (120, [(0, 120)], sha(b""))
+
+
+def test_passages_that_text_alone_goes_without(spark, tmp_path):
+    """Spans and digests are those of the first kinds; text is what without_repeats leaves of all. So in the query: 51 short words, in
+    fewer than 400 bytes, leave the text and count as nothing removed."""
+    rows, how, words = [(r[0], r[1]) for r in cases.rows()], suffix_dedup.Repeats(length=60, gram=20, piece=7), suffix_dedup.Repeats(length=6, gram=3, piece=2, words=True)
+    assert removed(cases.docs(spark), how, also=[words]) == brute_removed(rows, 60)
+    texts = lambda df: Counter((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect())
+    assert texts(suffix_dedup.removed_spans(cases.docs(spark), how, also=[words])) == texts(suffix_dedup.without_repeats(cases.docs(spark), how, words))
+    passage, few = " ".join(f"{w[:4]}{i}" for i, w in enumerate(cases.prose(9, 51).split())), cases.prose(12, 200).replace(" ", "")[:420]
+    assert len(passage) < 400
+    rows = [(1, f"aa {passage} bb"), (2, f"cc {passage} dd"), (3, f"ee {few} ff"), (4, f"gg {few} hh {passage}"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_suffix_array_dedup(spark, f"file://{tmp_path}").collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "aa  bb", 2: "cc  dd", 3: "eeff", 4: "gghh ", 5: ""}
+    want = brute_removed(rows, 400)
+    assert Counter((i, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()) == want and got[1].n_removed == 0 < got[4].n_removed
+
+
+def test_copies_that_one_task_reads_together(spark):
+    rows = [(i, cases.prose(77, 120)) for i in range(3)] + [(3, cases.prose(78, 120))]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute_removed(rows, 400)

@@ -37,7 +37,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+    """Spans and digest are of strings of 400 bytes; text goes without repeated passages of more than 50 words too, as in the pipeline."""
+    found = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"), also=[suffix_dedup.PASSAGES])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "text")
 

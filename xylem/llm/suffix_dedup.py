@@ -26,6 +26,7 @@ Several kinds of strings can be asked for at once, and then all are judged on th
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -60,6 +61,9 @@ class Repeats:
 
 BYTES = Repeats()
 
+#: All strings of more than 50 words, whatever their bytes.
+PASSAGES = Repeats(length=51, gram=10, piece=4, words=True, batches=2)
+
 #: Levels merge below this ratio. Batches of equal size give ratios near 1, 2, 4, ...; it is apart from all of these, so that
 #: small differences of size do not decide what merges.
 MERGED = 1.5
@@ -108,16 +112,16 @@ def _anchors(texts: DataFrame, how: Repeats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, marks, names, places, held, seen = [], [], [], [], 0, set()
+            heads, marks, names, places, seen = [], [], [], [], Counter()
 
             def out():
                 arrays = [pa.array(heads, pa.binary()), pa.array(np.concatenate(marks).view(np.int64)), pa.array(names, pa.binary()), pa.array(np.concatenate(places))]  # noqa: B023
                 return pa.RecordBatch.from_arrays(arrays, ["head", "mark", "text", "at"])
 
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if name in seen:
+                if seen[name] > 1:  # two copies show that all of its heads repeat
                     continue
-                seen.add(name)
+                seen[name] += 1
                 units = how.units(value.as_py())
                 at, hashes, _, _ = anchors_of(units, how)
                 heads += units.heads(at, how.gram)
@@ -324,14 +328,14 @@ def _whole_characters(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[
 _SPANS = "array<struct<begin:long,end:long>>"
 
 
-def _spans(texts: DataFrame, kinds: Sequence[Repeats]) -> DataFrame:
-    """text (its key), spans that are removed, kept (what lies between them) and kept_text (the same in whole characters).
-    texts: text, data, copied and the lists kind, first and last of runs."""
+def _spans(texts: DataFrame, kinds: Sequence[Repeats], also: Sequence[Repeats]) -> DataFrame:
+    """text (its key), spans that are removed, kept (what lies between them) and kept_text (the same in whole characters, without the
+    strings of the kinds also either). texts: text, data, copied and the lists kind (of kinds and then also), first and last of runs."""
 
-    def stretches(data: bytes, copied: bool, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the runs of all kinds; of a text that has copies, of all its strings."""
+    def stretches(some: Sequence[Repeats], data: bytes, copied: bool, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the runs of some kinds; of a text that has copies, of all its strings."""
         begins, ends = [], []
-        for i, kind in enumerate(kinds):
+        for i, kind in enumerate(some):
             units = kind.units(data) if kind.words or copied else None
             if copied and units.n >= kind.length:
                 begin, end = np.array([0]), np.array([units.n])
@@ -357,24 +361,26 @@ def _spans(texts: DataFrame, kinds: Sequence[Repeats]) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for name, data, copied, *lists in zip(*batch.columns, strict=True):
                 data = data.as_py()
-                begin, end = stretches(data, copied.as_py(), *(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64) for x in lists))
-                if len(begin):
-                    for column, x in zip(out, (name.as_py(), pairs(begin, end), between(begin, end, len(data)), between(*_whole_characters(data, begin, end), len(data))), strict=True):
+                runs = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64) for x in lists]
+                begin, end = stretches(kinds, data, copied.as_py(), *runs)
+                more = stretches([*kinds, *also], data, copied.as_py(), *runs) if also else (begin, end)
+                if len(more[0]):
+                    for column, x in zip(out, (name.as_py(), pairs(begin, end), between(begin, end, len(data)), between(*_whole_characters(data, *more), len(data))), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(x, span) for x in out[1:])], ["text", "spans", "kept", "kept_text"])
 
     return texts.select("text", "data", "copied", "kind", "first", "last").mapInArrow(run, f"text binary, spans {_SPANS}, kept {_SPANS}, kept_text {_SPANS}")
 
 
-def removals(docs: DataFrame, kinds: Sequence[Repeats], text: str = "text", families: Sequence[Family] = ()) -> DataFrame:
+def removals(docs: DataFrame, kinds: Sequence[Repeats], text: str = "text", families: Sequence[Family] = (), also: Sequence[Repeats] = ()) -> DataFrame:
     """A table with spans, kept and kept_text of each text that loses something; see _spans. It is small against the texts, and all
-    that is left of the tables that led to it. families: of the kinds, with all of docs added; or else new ones are made."""
+    that is left of the tables that led to it. families: of the kinds, and of also, with all of docs added; or else new ones are made."""
     with Staging(docs.sparkSession, "suffixes") as staging:
-        return Staging(docs.sparkSession, "removals").save(_removals(docs, kinds, text, families, staging), "spans", batch_rows=1000)
+        return Staging(docs.sparkSession, "removals").save(_removals(docs, kinds, text, families, also, staging), "spans", batch_rows=1000)
 
 
-def _removals(docs: DataFrame, kinds: Sequence[Repeats], text: str, families: Sequence[Family], staging: Staging) -> DataFrame:
-    spark = docs.sparkSession
+def _removals(docs: DataFrame, counted: Sequence[Repeats], text: str, families: Sequence[Family], also: Sequence[Repeats], staging: Staging) -> DataFrame:
+    spark, kinds = docs.sparkSession, [*counted, *also]
     texts = texts_of(docs, text, min(kind.least for kind in kinds))
     hits = []
     for i, kind in enumerate(kinds):
@@ -408,7 +414,7 @@ def _removals(docs: DataFrame, kinds: Sequence[Repeats], text: str, families: Se
         inner.close()
         runs = saved if runs is None else runs.unionAll(saved)
     lists = runs.groupBy("id").agg(F.collect_list(F.struct("kind", "first", "last")).alias("r")).select("id", "r.kind", "r.first", "r.last")
-    return _spans(fetched.join(lists, "id", "left").filter("copied or kind is not null"), kinds)
+    return _spans(fetched.join(lists, "id", "left").filter("copied or kind is not null"), counted, also)
 
 
 def _with_removals(rows: DataFrame, found: DataFrame, text: str, names: list[str], make) -> DataFrame:
@@ -434,17 +440,17 @@ def without_repeats(docs: DataFrame, *how: Repeats, text: str = "text", families
     return _with_removals(docs, found, text, names, make).select(*docs.columns)
 
 
-def removed_spans(docs: DataFrame, *how: Repeats, key: str = "doc_id", text: str = "text", families: Sequence[Family] = ()) -> DataFrame:
+def removed_spans(docs: DataFrame, *how: Repeats, also: Sequence[Repeats] = (), key: str = "doc_id", text: str = "text", families: Sequence[Family] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (array of struct(begin, end), in bytes), kept_sha256 (of the bytes that are left, in one) and text (the
     same as text; characters that are removed in part stay) of every row. how: kinds of strings, BYTES if none is given; what
-    repeats as a string of any kind is removed.
+    repeats as a string of any kind is removed. also: kinds of strings that text alone goes without.
 
     Strings are judged on the input, in one document or across documents. Null and empty texts have no bytes; texts shorter than a
     string keep all of theirs, even copies. Repeated rows and null keys are kept, each with the values of its text. Other columns
     of docs are not read, whatever their names. An empty input has no rows. A text is in the memory of a task as a whole, with some
     forty bytes for each of its own.
     """
-    found = removals(docs, how or (BYTES,), text, families)
+    found = removals(docs, how or (BYTES,), text, families, also)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     data = F.col("text").cast("binary")  # its bytes as they are, well formed or not
