@@ -254,3 +254,24 @@ def test_passages_that_text_alone_goes_without(spark, tmp_path):
 def test_copies_that_one_task_reads_together(spark):
     rows = [(i, cases.prose(77, 120)) for i in range(3)] + [(3, cases.prose(78, 120))]
     assert removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute_removed(rows, 400)
+
+
+def test_joined_texts_have_the_anchors_of_each(monkeypatch):
+    """Short texts are hashed together, a few times for all of them, and no string crosses from one into the next."""
+    monkeypatch.setattr(suffix_dedup, "JOINED", 3000)
+    passage = cases.prose(5, 90)
+    texts = [t.encode() for t in ("", passage, passage[:60], passage[:59], "", " \t ", "é" * 40, passage[7:], "one", cases.prose(6, 2000), "xy" * 90, passage)] + [cases.prose(i, 30).encode() for i in range(200)]
+    for how in (suffix_dedup.Repeats(length=60, gram=20, piece=7), suffix_dedup.Repeats(length=12, gram=4, piece=3, words=True)):
+        seen, turns = 0, 0
+        for low, high, units, bounds in how.joined(texts):
+            assert low == seen and len(bounds) == high - low + 1 and (high - low == 1 or sum(map(len, texts[low:high])) <= 3000)
+            got = suffix_dedup.anchors_of(units, how, bounds)
+            alone = [how.units(t) for t in texts[low:high]]
+            want = [suffix_dedup.anchors_of(own, how) for own in alone]
+            for i, (at, hashes, first, last) in enumerate(want):
+                mine = (bounds[i] <= got[0]) & (got[0] < bounds[i + 1])
+                assert all((a == b).all() and len(a) == len(b) for a, b in zip((g[mine] for g in got), (at + bounds[i], hashes, first + bounds[i], last + bounds[i]), strict=True))
+                assert units.heads(got[0][mine], how.gram) == alone[i].heads(at, how.gram)
+            assert len(got[0]) == sum(len(w[0]) for w in want)
+            seen, turns = high, turns + 1
+        assert seen == len(texts) and turns < len(texts) / 5

@@ -31,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: How tables of hashes and other values that hardly recur are written: without a dictionary, which would be made in vain.
+PLAIN = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+
+
 class Staging:
     """Tables of one run in the shared folder. They cut lineage and survive lost executors."""
 
@@ -45,10 +49,11 @@ class Staging:
         made.spark, made.root, made.dealt = spark, root.rstrip("/"), {}
         return made
 
-    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """df as a table that was written and is read again. batch_rows: how many rows reach Python at once, where rows are long."""
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None, plain: bool = False) -> DataFrame:
+        """df as a table that was written and is read again. batch_rows: how many rows reach Python at once, where rows are long.
+        plain: that values hardly recur."""
         with self._batches(batch_rows):
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+            df.write.mode("overwrite").options(**PLAIN if plain else {"compression": "zstd"}).parquet(f"{self.root}/{name}")
         return self.read(name, df)
 
     def deal(self, df: DataFrame, name: str, key: str, batch_rows: int | None = None) -> DataFrame:
@@ -177,9 +182,12 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer: each bit of the result hangs on all bits of x."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 class Cache(dict):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from copy import copy
+from functools import cached_property
+
 import numpy as np
 
 from xylem.llm.common import mixed
@@ -30,19 +33,36 @@ class Text:
         self.data, self.which = data, which
         self.values = np.frombuffer(data, np.uint8)
         self.n = len(self.values)
-        self._sum(_LETTERS[which][self.values])
 
-    def _sum(self, letters: np.ndarray) -> None:
-        up, self.down = powers(self.n + 1, self.which)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(letters * up[: self.n], out=self.sums[1:])
+    def _letters(self) -> np.ndarray:
+        return np.take(_LETTERS[self.which], self.values)
+
+    @property
+    def down(self) -> np.ndarray:
+        return powers(self.n + 1, self.which)[1]
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        letters, sums = self._letters(), np.zeros(self.n + 1, np.uint64)
+        letters *= powers(self.n + 1, self.which)[0][: self.n]
+        np.cumsum(letters, out=sums[1:])
+        return sums
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def hashes_of_all(self, low: int, high: int, length: int) -> np.ndarray:
+        """Hashes of all stretches of one length that start from low to high."""
+        x = self.sums[low + length : high + length] - self.sums[low:high]
+        x *= self.down[low:high]
+        return mixed(x)
+
     def twin(self) -> Text:
         """The same text under the other hash."""
-        return type(self)(self.data, 1 - self.which)
+        other = copy(self)
+        other.which = 1 - self.which
+        other.__dict__.pop("sums", None)
+        return other
 
     def heads(self, at: np.ndarray, length: int) -> list[bytes]:
         """The first bytes of the suffixes at the given places."""
@@ -56,13 +76,19 @@ class Words(Text):
     """The words of a byte string, parted by ASCII white space; places are those of words. begin and end: of each word, in bytes."""
 
     def __init__(self, data: bytes, which: int = 0):
-        letters = Text(data, which)
         self.data, self.which = data, which
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[letters.values], [True]))))
+        space = np.ones(len(data) + 2, bool)
+        np.take(_SPACE, np.frombuffer(data, np.uint8), out=space[1:-1])
+        edges = np.flatnonzero(space[1:] != space[:-1])
         self.begin, self.end = edges[::2], edges[1::2]
         self.n = len(self.begin)
-        self._sum(letters.hashes(self.begin, self.end))
+
+    def _letters(self) -> np.ndarray:
+        return Text(self.data, self.which).hashes(self.begin, self.end)
 
     def heads(self, at: np.ndarray, length: int) -> list[bytes]:
         """The first words of the suffixes at the given places, one space between them."""
-        return [b" ".join(self.data[b:e].split()) for b, e in zip(self.begin[at].tolist(), self.end[at + length - 1].tolist(), strict=True)]
+        words = b" ".join(self.data.split())
+        ends = np.cumsum(self.end - self.begin + 1)
+        begins = ends - (self.end - self.begin + 1)
+        return [words[b:e] for b, e in zip(begins[at].tolist(), (ends[at + length - 1] - 1).tolist(), strict=True)]
